@@ -7,8 +7,9 @@ against one threshold: where the scores of labelled good and bad documents, each
 lie equally many deviations away. At least ``FLOOR`` deviations below the good mean are kept, so
 that few good documents fall, and without bad labels that floor alone is the threshold.
 
-Labels may be as many as documents, so the trusted target and the threshold are fitted on the
-``TRUSTED`` labelled documents with the smallest hashes; the corpus multinomial counts every
+Labels may be as many as documents, so the ``TRUSTED`` labelled documents with the smallest hashes
+are used: the trusted target is counted on one half of them and the threshold is set on the other,
+whose words the target hasn't seen, as it hasn't seen those of unlabelled documents. The corpus multinomial counts every
 document. The table of ratios has ``BUCKETS`` numbers, whatever the corpus, and enters the scoring
 scan as one literal: documents are never joined, shuffled or collected.
 
@@ -48,7 +49,7 @@ def labelled(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     """``most`` labelled ids by hash; of ids with several labels the worst one counts."""
     good = F.min(F.when((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), 1).otherwise(0))
     one = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(good.alias("__good"))
-    return one.orderBy(F.xxhash64("__id"), "__id").limit(most)
+    return one.orderBy(F.xxhash64("__id"), "__id").limit(most).withColumn("__fit", F.xxhash64(F.lit(1), F.col("__id")) % 2 == 0)
 
 
 def log_ratios(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> list[float]:
@@ -57,7 +58,7 @@ def log_ratios(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> li
     The driver gets ``buckets`` sums, a number that is fixed before any data are read.
     """
     flat = docs.select("doc_id", F.col("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id"), "left")
-    flat = flat.select(F.coalesce("__good", F.lit(0)).alias("good"), word_hashes(shared.words(F.col("text"))).alias("h"))
+    flat = flat.select(F.when(F.col("__fit"), F.col("__good")).otherwise(0).alias("good"), word_hashes(shared.words(F.col("text"))).alias("h"))
     flat = flat.select("good", ngram_hashes(F.col("h")).alias("g")).select("good", F.explode_outer("g").alias("g")).select("good", F.pmod("g", F.lit(buckets)).cast("int").alias("bucket"))
     got = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")).collect()
     corpus, trusted = [1] * buckets, [1] * buckets
@@ -86,7 +87,7 @@ def score(hashes: Column, table: Column, buckets: int = BUCKETS) -> Column:
 
 def threshold(docs: DataFrame, sample: DataFrame, table: Column, buckets: int = BUCKETS) -> float:
     """From the scores of the labelled sample; minus infinity without good ones."""
-    scored = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
+    scored = docs.select("doc_id", "text").join(F.broadcast(sample.filter("NOT __fit")), F.col("doc_id") == F.col("__id"))
     scored = scored.select("__good", word_hashes(shared.words(F.col("text"))).alias("h"))
     scored = scored.select("__good", score(F.col("h"), table, buckets).alias("s"))
     by = {r["__good"]: r for r in scored.groupBy("__good").agg(F.count("s").alias("n"), F.avg("s").alias("m"), F.coalesce(F.stddev_samp("s"), F.lit(0.0)).alias("d")).collect()}
