@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..errors import ArgumentError
 from ..metadata import prepare_key, prepare_order_list
 from ..registry import operation
-from .util import col, fresh, natural, ordering, present
+from .util import col, cut, fresh, natural, ordering, present
 
 
 @operation
@@ -70,13 +70,13 @@ def _plain(df: DataFrame, order_by) -> bool:
 def with_position(df: DataFrame, order_by, name: str) -> DataFrame:
     """Add the place of each row, from 0, in one order over all tasks.
 
-    Rows are dealt by range and sorted in each part; a row's place is its place in the part plus
+    Rows are dealt by range, sorted in each part and written down; a row's place is its place in the part plus
     the rows of the parts before. The sums of parts are few, so no task gets all rows.
     """
     part, place, total = fresh("__part", df.columns), fresh("__place", df.columns), fresh("__total", df.columns)
     if order_by is not None:
         df = df.orderBy(*ordering(df, order_by))
-    df = df.withColumn(place, F.monotonically_increasing_id())
+    df = cut(df.withColumn(place, F.monotonically_increasing_id()))
     df = df.withColumn(part, F.shiftright(col(place), 33).cast("int")).withColumn(place, col(place).bitwiseAND(F.lit((1 << 33) - 1)))
     counts = {r[part]: r["n"] for r in df.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()}
     before, n = [], 0

@@ -46,3 +46,13 @@ def fresh(name: str, *taken: Iterable[str]) -> str:
     while name.lower() in used:
         name += "_"
     return name
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder, for results that must not be computed twice."""
+    import tempfile
+
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fieldloom-"))
+    return df.checkpoint()
