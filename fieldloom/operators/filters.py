@@ -100,9 +100,9 @@ def _called(df: DataFrame, predicate: Callable, names: list[str], kwargs: dict)
         del e
     import pandas as pd
 
-    @F.pandas_udf(T.BooleanType())
-    def accept(*args: pd.Series) -> pd.Series:
-        values = [s.astype(object).where(s.notna(), None) for s in args]
+    def accept(rows):
+        values = [rows[c].astype(object).where(rows[c].notna(), None) for c in rows.columns]
         return pd.Series([bool(predicate(*row, **kwargs)) for row in zip(*values, strict=True)], dtype=object)
 
-    return accept(*[col(n) for n in names])
+    accept.__annotations__ = {"rows": pd.DataFrame, "return": pd.Series}
+    return F.pandas_udf(accept, T.BooleanType())(F.struct(*[col(n) for n in names]))
