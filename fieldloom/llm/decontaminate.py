@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 K, SPAN = 5, 13
+#: Up to so many hashes of the benchmark are put into the plan, to pass over texts without any of them.
+LISTED = 20_000
 
 
 def _runs(hashes: Column, width: int) -> Column:
@@ -43,24 +45,32 @@ def _chosen(runs: Column, window: int) -> Column:
     return F.array_distinct(F.transform(starts, place))
 
 
+def _words() -> Column:
+    return shared.words(shared.ascii_lower(F.col("text")), shared.WORD)
+
+
 def _hashed(df: DataFrame, keys: list[str]) -> DataFrame:
-    df = df.select(*keys, shared.words(shared.ascii_lower(F.col("text")), shared.WORD).alias("w"))
-    return df.select(*keys, "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    """Hashes of words in lower case, beside the text. Hashes may fold letters beyond ASCII; words themselves are compared later."""
+    return df.select(*keys, "text", F.transform(shared.words(F.lower("text"), shared.WORD), lambda x: F.xxhash64(x)).alias("h"))
 
 
-def fingerprints(df: DataFrame, keys: list[str], k: int = K, span: int = SPAN) -> DataFrame:
+def fingerprints(df: DataFrame, keys: list[str], k: int = K, span: int = SPAN, among: Column | None = None) -> DataFrame:
     """A row for each fingerprint: keys, words, place and hash, or one row with nulls.
 
-    The outer explode keeps the optimizer from testing arrays for size below the projections that build them.
+    With ``among``, an array of hashes, texts that hold none of them are left out before the windows
+    are searched. The outer explode keeps the optimizer from testing arrays for size below the
+    projections that build them.
     """
-    df = _hashed(df, keys)
-    df = df.select(*keys, "w", _runs(F.col("h"), k).alias("g")).select(*keys, "w", "g", _chosen(F.col("g"), span - k + 1).alias("at"))
+    df = _hashed(df, keys).select(*keys, "text", _runs(F.col("h"), k).alias("g"))
+    if among is not None:
+        df = shared.settled(df, F.coalesce(F.arrays_overlap("g", among), F.lit(False)))
+    df = df.select(*keys, _words().alias("w"), "g", _chosen(F.col("g"), span - k + 1).alias("at"))
     return df.select(*keys, "w", "g", F.explode_outer("at").alias("p")).select(*keys, "w", "p", F.get("g", F.col("p")).alias("f"))
 
 
 def all_runs(df: DataFrame, keys: list[str], width: int) -> DataFrame:
     """A row for each run of ``width`` words."""
-    df = _hashed(df, keys).select(*keys, "w", _runs(F.col("h"), width).alias("g"))
+    df = _hashed(df, keys).select(*keys, _words().alias("w"), _runs(F.col("h"), width).alias("g"))
     return df.select(*keys, "w", F.posexplode_outer("g").alias("p", "f"))
 
 
@@ -84,7 +94,7 @@ def _met(found, docs: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame
     if table.count() <= shared.BROADCAST_ROWS:
         return found(docs).join(F.broadcast(table), F.col("f") == F.col("__f"))
     narrow = found(docs).select(*keys, "p", "f").join(table, F.col("f") == F.col("__f")).withColumnsRenamed({k: f"__{k}" for k in keys})
-    texts = _hashed(docs, keys)
+    texts = docs.select(*keys, _words().alias("w"))
     return texts.join(narrow, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])).drop(*[f"__{k}" for k in keys])
 
 
@@ -94,7 +104,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, k: int = K, span: int = SPAN) ->
     docs = docs.select("doc_id", F.xxhash64("text").alias("__t"), "text")
     items = benchmark.select(F.col("item_id").cast("string").alias("__item"), "text")
     long = fingerprints(items, ["__item"], k, span).select("__item", F.col("w").alias("__w"), F.col("p").alias("__q"), F.col("f").alias("__f"))
-    parts = [extended(_met(lambda d: fingerprints(d, keys, k, span), docs, shared.stage(long, "bench-prints"), keys), keys, k, span)]
+    long = shared.stage(long, "bench-prints")
+    among = None
+    if long.select("__f").distinct().count() <= LISTED:
+        listed = [r["__f"] for r in long.filter("__f IS NOT NULL").select("__f").distinct().collect()]
+        among = F.from_json(F.lit(str(sorted(listed))), "array<bigint>")
+    parts = [extended(_met(lambda d: fingerprints(d, keys, k, span, among), docs, long, keys), keys, k, span)]
     sizes = items.select(F.size(shared.words(shared.ascii_lower(F.col("text")), shared.WORD)).alias("n")).filter(F.col("n").between(1, span - 1)).distinct()
     for n in sorted(r["n"] for r in sizes.collect()):
         short = all_runs(items, ["__item"], n).filter(F.size("w") == n)
