@@ -54,20 +54,31 @@ def _hashed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, "text", F.transform(shared.words(F.lower("text"), shared.WORD), lambda x: F.xxhash64(x)).alias("h"))
 
 
-def fingerprints(df: DataFrame, keys: list[str], k: int = K, span: int = SPAN, among: Column | None = None) -> DataFrame:
+def fingerprints(df: DataFrame, keys: list[str], k: int = K, span: int = SPAN) -> DataFrame:
     """A row for each fingerprint: keys, words, place and hash, or one row with nulls.
 
-    With ``among``, an array of hashes, texts that hold none of them are left out before the windows
-    are searched. The outer explode keeps the optimizer from testing arrays for size below the
-    projections that build them.
+    The outer explode keeps the optimizer from testing arrays for size below the projections that
+    build them.
     """
     df = _hashed(df, keys).select(*keys, "text", _runs(F.col("h"), k).alias("g"))
-    if among is not None:
-        df = shared.settled(df, F.coalesce(F.arrays_overlap("g", among), F.lit(False)))
     df = df.select(*keys, _words().alias("w"), "g", _chosen(F.col("g"), span - k + 1).alias("at"))
     return df.select(*keys, "w", "g", F.explode_outer("at").alias("p")).select(*keys, "w", "p", F.get("g", F.col("p")).alias("f"))
 
 
+def screened(docs: DataFrame, keys: list[str], prints: DataFrame, k: int = K) -> DataFrame:
+    """(keys, n_words, text), where texts with none of the hashes of ``prints`` are null.
+
+    One scan counts words and looks hashes up in the list of them that is part of the plan. A
+    benchmark with more than ``LISTED`` hashes has no such list; then every text is passed on.
+    """
+    if prints.select("__f").distinct().count() > LISTED:
+        return docs.select(*keys, n_words(F.col("text")).alias("n_words"), "text")
+    listed = [r["__f"] for r in prints.filter("__f IS NOT NULL").select("__f").distinct().collect()]
+    among = F.from_json(F.lit(str(sorted(listed))), "array<bigint>")
+    df = _hashed(docs, keys).select(*keys, "text", F.size("h").alias("n"), _runs(F.col("h"), k).alias("g"))
+    return shared.stage(df.select(*keys, F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_words"), F.when(F.arrays_overlap("g", among), F.col("text")).alias("text")), "bench-screened")
+
+
 def all_runs(df: DataFrame, keys: list[str], width: int) -> DataFrame:
     """A row for each run of ``width`` words."""
     df = _hashed(df, keys).select(*keys, _words().alias("w"), _runs(F.col("h"), width).alias("g"))
@@ -98,19 +109,16 @@ def _met(found, docs: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame
     return texts.join(narrow, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])).drop(*[f"__{k}" for k in keys])
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, k: int = K, span: int = SPAN) -> DataFrame:
-    """For (doc_id, __t) of documents with hits: n_hit, n_items and items_sha256. ``__t`` is a hash of the text."""
+def hits(docs: DataFrame, benchmark: DataFrame, k: int = K, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
+    """Of all documents (doc_id, __t, n_words); of those with hits (doc_id, __t, n_hit, n_items, items_sha256). ``__t`` is a hash of the text."""
     keys = ["doc_id", "__t"]
     docs = docs.select("doc_id", F.xxhash64("text").alias("__t"), "text")
     items = benchmark.select(F.col("item_id").cast("string").alias("__item"), "text")
     long = fingerprints(items, ["__item"], k, span).select("__item", F.col("w").alias("__w"), F.col("p").alias("__q"), F.col("f").alias("__f"))
     long = shared.stage(long, "bench-prints")
-    among = None
-    if long.select("__f").distinct().count() <= LISTED:
-        listed = [r["__f"] for r in long.filter("__f IS NOT NULL").select("__f").distinct().collect()]
-        among = F.from_json(F.lit(str(sorted(listed))), "array<bigint>")
-    parts = [extended(_met(lambda d: fingerprints(d, keys, k, span, among), docs, long, keys), keys, k, span)]
-    sizes = items.select(F.size(shared.words(shared.ascii_lower(F.col("text")), shared.WORD)).alias("n")).filter(F.col("n").between(1, span - 1)).distinct()
+    every = screened(docs, keys, long, k)
+    parts = [extended(_met(lambda d: fingerprints(d, keys, k, span), every.filter("text IS NOT NULL"), long, keys), keys, k, span)]
+    sizes = items.select(F.size(_words()).alias("n")).filter(F.col("n").between(1, span - 1)).distinct()
     for n in sorted(r["n"] for r in sizes.collect()):
         short = all_runs(items, ["__item"], n).filter(F.size("w") == n)
         short = shared.stage(short.select("__item", F.col("w").alias("__w"), F.lit(0).alias("__q"), F.col("f").alias("__f")), "bench-short")
@@ -121,7 +129,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, k: int = K, span: int = SPAN) ->
     start = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))
     step = lambda acc, x: F.struct(F.greatest(acc.to, x.e).alias("to"), (acc.n + F.greatest(x.e - F.greatest(x.s, acc.to), F.lit(0))).alias("n"))
     n_hit = F.aggregate(F.array_sort("spans"), start, step, lambda acc: acc.n)
-    return by.select(*keys, n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    by = by.select(*keys, n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return every.select(*keys, "n_words"), shared.stage(by, "bench-hits")
 
 
 def _is_bad() -> Column:
@@ -133,9 +142,9 @@ def n_words(text: Column) -> Column:
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = shared.stage(hits(docs, benchmark), "bench-hits").withColumnsRenamed({"doc_id": "__id", "__t": "__u"})
-    df = docs.select("doc_id", F.xxhash64("text").alias("__t"), n_words(F.col("text")).alias("n_words"))
-    df = df.join(shared.sized(found), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__u")), "left")
+    every, found = hits(docs, benchmark)
+    found = found.withColumnsRenamed({"doc_id": "__id", "__t": "__u"})
+    df = every.join(shared.sized(found), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__u")), "left")
     none = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)}
     df = df.withColumns({k: F.coalesce(k, v) for k, v in none.items()})
     return df.select("doc_id", "n_words", *none, _is_bad().alias("contaminated"))
@@ -143,7 +152,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated."""
-    found = shared.stage(hits(docs, benchmark), "bench-hits").select(F.col("doc_id").alias("__id"), F.col("__t").alias("__u"), "n_hit")
+    _, found = hits(docs, benchmark)
+    found = found.select(F.col("doc_id").alias("__id"), F.col("__t").alias("__u"), "n_hit")
     rows = shared.whole_row(docs).withColumn("__t", F.xxhash64("__row.text"))
     on = F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__u"))
     bad = F.when(F.col("n_hit").isNotNull(), 20 * F.col("n_hit") >= n_words(F.col("__row.text"))).otherwise(False)
