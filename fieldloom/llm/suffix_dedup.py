@@ -42,7 +42,7 @@ from . import shared, store
 LENGTH = 400
 #: Order of the field that the cover is made over; the period is q * q + q + 1.
 ORDER = 17
-CHUNK, BLOCK, BUCKET = 32 << 20, 1 << 20, 4_000_000
+CHUNK, BLOCK, BUCKET = 8 << 20, 1 << 20, 4_000_000
 
 
 @cache
