@@ -357,7 +357,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         asked = sent.groupBy("bucket").applyInArrow(answer(short), "chunk string, places binary")
         deliver(asked, folder, parts)
     left = one.mapInArrow(cut(final, local), "__key string, n_removed bigint, n_spans bigint, kept_sha256 string")
-    left = shared.stage(left, "suffix-left").withColumnRenamed("__key", "__k")
+    left = shared.stage(left.dropDuplicates(["__key"]), "suffix-left").withColumnRenamed("__key", "__k")
     out = rows.join(shared.stage(copied.select(F.col("__s")), "suffix-twice"), F.col("__sha") == F.col("__s"), "left").join(left, F.col("__sha") == F.col("__k"), "left")
     whole = F.col("__s").isNotNull() & (F.col("n_bytes") >= LENGTH)
     pick = lambda a, b, c: F.when(whole, a).otherwise(F.coalesce(b, c))
