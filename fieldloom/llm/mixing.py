@@ -78,20 +78,21 @@ def first_words(text: Column, n: Column) -> Column:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: each document as often as taken, the last copy cut at the word; columns of ``docs``."""
     kept = plan_mix(docs, **how).filter("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.collect_list("taken").alias("__all"))
+    kept = shared.stage(kept, "mix-kept")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     left = docs.select(row).withColumn("__key", F.col("__row.doc_id")).withColumn("__src", F.col("__row.source").cast("string")).withColumn("__words", word_count(F.col("__row.text")))
-    left = left.join(kept, F.col("__key").eqNullSafe(F.col("__id")) & F.col("__src").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
-    return _copies(left, docs)
+    left = left.join(shared.sized(kept), F.col("__key").eqNullSafe(F.col("__id")) & F.col("__src").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
+    return _copies(left, docs, not kept.filter(F.size("__all") > 1).isEmpty())
 
 
-def _copies(left: DataFrame, docs: DataFrame) -> DataFrame:
+def _copies(left: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """Rows that share doc_id, source and size are told apart by their number within that small group."""
     whole = F.floor(F.col("__taken") / F.col("__words"))
     rest = (F.col("__taken") - whole * F.col("__words")).cast("long")
     number = F.row_number().over(W.partitionBy("__key", "__src", "__words").orderBy(F.xxhash64("__row.text")))
     single = left.filter(F.size("__all") == 1).withColumn("__taken", F.element_at("__all", 1))
     several = left.filter(F.size("__all") > 1).withColumn("__n", number).withColumn("__taken", F.try_element_at(F.sort_array("__all", asc=False), F.col("__n"))).drop("__n")
-    both = single.unionByName(several).filter("__taken > 0")
+    both = (single.unionByName(several) if repeated else single).filter("__taken > 0")
     sizes = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(shared.nothing("array<bigint>")))
     out = both.select("__row", F.explode(sizes).alias("__cut"))
     cut = F.when(F.col("__cut") < 0, F.col("__row.text")).otherwise(first_words(F.col("__row.text"), F.col("__cut")))
