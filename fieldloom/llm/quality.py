@@ -10,8 +10,8 @@ that few good documents fall, and without bad labels that floor alone is the thr
 Labels may be as many as documents, so the ``TRUSTED`` labelled documents with the smallest hashes
 are used: the trusted target is counted on one half of them and the threshold is set on the other,
 whose words the target hasn't seen, as it hasn't seen those of unlabelled documents. The corpus multinomial counts every
-document. The table of ratios has ``BUCKETS`` numbers, whatever the corpus, and enters the scoring
-scan as one literal: documents are never joined, shuffled or collected.
+document. The table of ratios has ``BUCKETS`` numbers, whatever the corpus, in whole thousandths, so that
+the plan stays short, and enters the scoring scan as one literal: documents are never joined, shuffled or collected.
 
 Null and blank texts have no words and fail the base rules. Without labels no text can be trusted:
 all ratios are 0 and the base rules alone decide. Repeated rows get equal verdicts. A text of one
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 BUCKETS, TRUSTED, FLOOR = 1 << 16, 20_000, 2.5
+#: Log ratios are kept in whole parts of this size.
+UNIT = 1000
 MIN_WORDS = 50
 
 
@@ -52,8 +54,8 @@ def labelled(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     return one.orderBy(F.xxhash64("__id"), "__id").limit(most).withColumn("__fit", F.xxhash64(F.lit(1), F.col("__id")) % 2 == 0)
 
 
-def log_ratios(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """For each bucket log P(bucket | trusted) - log P(bucket | corpus), with add-one smoothing.
+def log_ratios(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """For each bucket log P(bucket | trusted) - log P(bucket | corpus), with add-one smoothing, in ``1 / UNIT``.
 
     The driver gets ``buckets`` sums, a number that is fixed before any data are read.
     """
@@ -68,21 +70,21 @@ def log_ratios(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> li
         corpus[r["bucket"]] += r["n"]
         trusted[r["bucket"]] += r["good"]
     if sum(trusted) == buckets:
-        return [0.0] * buckets
+        return [0] * buckets
     a, b = math.log(sum(trusted)), math.log(sum(corpus))
-    return [math.log(t) - a - math.log(c) + b for t, c in zip(trusted, corpus, strict=True)]
+    return [round(UNIT * (math.log(t) - a - math.log(c) + b)) for t, c in zip(trusted, corpus, strict=True)]
 
 
-def table_literal(values: list[float]) -> Column:
+def table_literal(values: list[int]) -> Column:
     """The values as one array literal: parsed once by the optimizer, then a constant of the plan."""
-    return F.from_json(F.lit("[" + ",".join(map(repr, values)) + "]"), "array<double>")
+    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<int>")
 
 
 def score(hashes: Column, table: Column, buckets: int = BUCKETS) -> Column:
     """Mean log ratio over words and pairs of neighbours, from the column of word hashes; null without words."""
     at = lambda x: F.get(table, F.pmod(x, F.lit(buckets)).cast("int"))
     each = _pairs(hashes, lambda a, b: at(a) + at(F.xxhash64(a, b)))
-    return F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x) / F.nullif(2.0 * F.size(hashes), F.lit(0.0))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda acc, x: acc + x) / F.nullif(2.0 * UNIT * F.size(hashes), F.lit(0.0))
 
 
 def threshold(docs: DataFrame, sample: DataFrame, table: Column, buckets: int = BUCKETS) -> float:
