@@ -50,8 +50,12 @@ def _words() -> Column:
 
 
 def _hashed(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hashes of words in lower case, beside the text. Hashes may fold letters beyond ASCII; words themselves are compared later."""
-    return df.select(*keys, "text", F.transform(shared.words(F.lower("text"), shared.WORD), lambda x: F.xxhash64(x)).alias("h"))
+    """Hashes of words in lower case, beside the text. Hashes may fold letters beyond ASCII; words themselves are compared later.
+
+    A capital sigma is folded first, as its lower case otherwise depends on what stands behind the word.
+    """
+    low = F.lower(F.replace("text", F.lit("\u03a3"), F.lit("\u03c3")))
+    return df.select(*keys, "text", F.transform(shared.words(low, shared.WORD), lambda x: F.xxhash64(x)).alias("h"))
 
 
 def fingerprints(df: DataFrame, keys: list[str], k: int = K, span: int = SPAN) -> DataFrame:

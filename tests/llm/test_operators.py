@@ -289,6 +289,14 @@ def test_decontamination(spark, sf, docs, texts):
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {i for i, _ in texts} - bad
 
 
+def test_decontamination_of_capital_sigma(spark):
+    """The case of a word's last sigma must not depend on what follows the word."""
+    run = " ".join(f"w{k} \u039f\u0394\u039f\u03a3" for k in range(8))
+    docs = spark.createDataFrame([(1, run.replace("\u03a3 ", "\u03a3.")), (2, run.lower())], "doc_id long, text string")
+    got = by_id(decontaminate.op10(docs, spark.createDataFrame([(7, run)], "item_id long, text string")))
+    assert got[1]["n_hit"] == 16 and got[2]["n_hit"] == 0
+
+
 @pytest.mark.parametrize("operator", [suffix_dedup.op1, license_scan.op2, simhash.op4, mixing.op6, pii.op7, sharding.op8, secret_scan.op9])
 def test_empty_tables(docs, operator):
     assert operator(docs.limit(0)).count() == 0
