@@ -2,7 +2,7 @@
 
 Each license of ``LICENSES`` has hand-written expressions of its names, an SPDX tag and addresses;
 ``rules`` lists them as (keyword, expression, label, priority, weight). A text is searched only with
-the rules whose keyword its lower-cased form contains, and texts that hold none of the ``GATES`` are
+the rules whose keyword its lower-cased form contains, and texts that hold none of the keywords are
 only counted. Detections are then ordered, and one inside a detection of the same or a higher
 priority is dropped, so that "GNU Affero General Public License" is no GPL and a tag beats the name
 in it. The base phrases are found on their own and stay whatever the rules say.
@@ -23,8 +23,6 @@ from . import shared
 
 #: Phrases of the base, as words, and their labels.
 PHRASES = {"mit": ["under", "the", "mit", "license"], "apache-2": ["apache", "license", "version", "2"], "cc-by-nc": ["cc", "by", "nc"]}
-#: What every text must hold to be searched at all.
-GATES = ("licen", "copyright", "spdx", "creativecommons", "opensource.org", "gnu.org", "public domain", "gpl", "permission is hereby", "redistribution", "copyleft", "all rights reserved", "warranty")
 #: Priorities: a tag states the license, a text or address names it, a name may be a mention.
 TAG, TEXT, NAME, HINT = 4, 3, 2, 1
 V = r"(?:,?\s*(?:version|v\.?)?\s*)"
@@ -129,6 +127,17 @@ def rules() -> list[dict]:
     return [r | {"rank": i} for i, r in enumerate(out)]
 
 
+def gates() -> list[str]:
+    """What texts must hold one of to be searched at all: the keywords of the rules, less those that hold another."""
+    all_ = {r["kw"] for r in rules()}
+    return sorted(k for k in all_ if not any(o != k and o in k for o in all_))
+
+
+def _gate(text: Column) -> Column:
+    listed = F.from_json(F.lit(json.dumps(gates())), "array<string>")
+    return shared.let(F.lower(text), lambda low: F.exists(listed, lambda g: F.contains(low, g)))
+
+
 def _gap() -> str:
     return r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -172,8 +181,7 @@ def _spans(text: Column, pattern: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, base places and labels, detections, labels and score."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low = F.lower("text")
-    df = df.select("doc_id", "text", F.regexp_count("text", F.lit(shared.WORD)).cast("long").alias("n_words"), F.col("text").rlike(_base_gate()).alias("__base"), reduce(lambda a, b: a | b, [F.contains(low, F.lit(g)) for g in GATES]).alias("__gate"))
+    df = df.select("doc_id", "text", F.regexp_count("text", F.lit(shared.WORD)).cast("long").alias("n_words"), F.col("text").rlike(_base_gate()).alias("__base"), _gate(F.col("text")).alias("__gate"))
     words = F.when(F.col("__base"), shared.words(shared.ascii_lower(F.col("text")), shared.WORD)).otherwise(shared.nothing("array<string>"))
     df = df.withColumn("__w", words).withColumn("found", F.when(F.col("__gate"), detections(F.col("text"))).otherwise(shared.nothing(FOUND)))
     df = df.select("doc_id", "n_words", "found", *[_places(F.col("__w"), p).alias(f"__p{i}") for i, p in enumerate(PHRASES.values())])

@@ -81,6 +81,63 @@ def test_license_rules_and_suppression(spark):
     assert {k: r["labels"] for k, r in by_id(license_scan.op2(df)).items()} == {1: "gpl-3", 2: "agpl-3", 3: "mit,mpl-2", 4: ""}
 
 
+def spelled(parsed, long):
+    """A text that an expression matches: the shortest one by its first choices, or one with all its options by its last."""
+    out = ""
+    for op, x in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(x)
+            case "IN":
+                out += {"LITERAL": lambda v: chr(v), "CATEGORY": lambda v: " ", "RANGE": lambda v: chr(v[0])}[str(x[0][0])](x[0][1])
+            case "ANY":
+                out += "x"
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                out += spelled(x[2], long) * (max(x[0], 1) if long else x[0])
+            case "SUBPATTERN":
+                out += spelled(x[3], long)
+            case "BRANCH":
+                out += spelled(x[1][-1 if long else 0], long)
+            case "ASSERT":
+                out += " " + spelled(x[1], long)
+            case "AT" | "ASSERT_NOT":
+                pass
+            case other:
+                raise ValueError(other)
+    return out
+
+
+def brute_licenses(t):
+    found = sorted((m.start(), -m.end(), -r["prio"], r["rank"], r["label"]) for r in license_scan.rules() for m in re.finditer(r["re"], t, re.ASCII))
+    return {x[4] for k, x in enumerate(found) if not any(o[1] <= x[1] and o[2] <= x[2] for o in found[:k])}
+
+
+def test_license_gate_admits_every_rule(spark):
+    rules = license_scan.rules()
+    rows = [(2 * r["rank"] + long, spelled(re._parser.parse(r["re"]), long)) for r in rules for long in (0, 1)]
+    got = by_id(license_scan.op2(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, t in rows:
+        r = rules[i // 2]
+        assert re.search(r["re"], t) and r["kw"] in t.lower() and not re.search(r"\s", r["kw"]), t
+        assert set(got[i]["labels"].split(",")) == brute_licenses(t) | set(filter(None, got[i]["base_labels"].split(","))) and got[i]["score"] > 0, t
+
+
+NAMES_WITHOUT_THE_WORD = [
+    ("Creative Commons Attribution 4.0 International", "cc-by"), ("creative commons zero", "cc0-1"), ("CC BY-SA", "cc-by-sa"), ("BSD 3-clause", "bsd-3"), ("two-clause BSD", "bsd-2"), ("zero-clause BSD", "0bsd"), ("mozilla.org/MPL/2.0", "mpl-2"),
+    ("eclipse.org/legal/epl-2.0", "epl-2"), ("mariadb.com/bsl11", "busl-1.1"), ("wtfpl.net", "wtfpl"), ("scripts.sil.org/OFL", "ofl-1.1"), ("Permission to use, copy, modify, and/or distribute this software for any purpose", "isc"),
+    ("Neither the name of X nor the names of its contributors", "bsd-3"), ("The Software shall be used for Good, not Evil", "jsr-json"),
+]
+
+
+def labelled_like(spark, names):
+    got = by_id(license_scan.op2(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(names)], "doc_id long, text string")))
+    return [(t, got[i]["labels"]) for i, (t, _) in enumerate(names)]
+
+
+def test_license_names_without_the_word(spark):
+    assert labelled_like(spark, NAMES_WITHOUT_THE_WORD) == NAMES_WITHOUT_THE_WORD
+
+
 def test_quality(docs, texts, spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = by_id(quality.op3(docs, labels))
