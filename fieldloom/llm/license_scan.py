@@ -117,13 +117,18 @@ def _keyword(expression: str) -> str:
     return max(re.findall(r"[A-Za-z.]+", plain), key=len, default="").strip(".").lower()
 
 
+def _spaced(expression: str) -> str:
+    """Spaces match any white space: an optional one may be missing, one beside a hyphen in a class may be that instead."""
+    return expression.replace("[ -]", r"(?:\s+|-)").replace(" ?", r"\s*").replace(" ", r"\s+")
+
+
 def rules() -> list[dict]:
     """Every rule, in order: keyword, expression, label, priority, weight."""
     out = []
     for label, (ids, names, texts) in LICENSES.items():
         made = [(rf"spdx-license-identifier:\s*{x.replace('.', chr(92) + '.').replace('+', chr(92) + '+')}(?![\w.+-])", TAG, 1.0, "spdx-license-identifier") for x in ids]
         made += [(x, TEXT, 0.95, None) for x in texts] + [(x, NAME if ids or texts else HINT, 0.9 if ids or texts else 0.6, None) for x in names]
-        out += [{"kw": kw or _keyword(x), "re": "(?i)" + x.replace(" ", r"\s+"), "label": label, "prio": prio, "weight": weight} for x, prio, weight, kw in made]
+        out += [{"kw": kw or _keyword(x), "re": "(?i)" + _spaced(x), "label": label, "prio": prio, "weight": weight} for x, prio, weight, kw in made]
     return [r | {"rank": i} for i, r in enumerate(out)]
 
 

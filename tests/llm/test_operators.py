@@ -138,6 +138,24 @@ def test_license_names_without_the_word(spark):
     assert labelled_like(spark, NAMES_WITHOUT_THE_WORD) == NAMES_WITHOUT_THE_WORD
 
 
+NAMES_OF_OPTIONAL_SPACES = [
+    ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa"), ("Creative Commons Attribution-Share Alike", "cc-by-sa"), ("Creative Commons Attribution-NoDerivatives", "cc-by-nd"), ("Creative Commons Attribution-NoDerivs 3.0", "cc-by-nd"),
+    ("Creative Commons Attribution-NonCommercial 4.0", "cc-by-nc"), ("Creative Commons Attribution-NonCommercial-NoDerivatives", "cc-by-nc-nd"), ("Creative Commons Attribution-NonCommercial-No Derivs", "cc-by-nc-nd"),
+    ("Creative Commons Attribution-NonCommercial-ShareAlike", "cc-by-nc-sa"), ("Creative Commons\nAttribution Non-Commercial\n Share \tAlike", "cc-by-nc-sa"), ("OpenRAIL license", "openrail"), ("CreativeML Open RAIL-M license", "openrail"), ("GPL2 license", "gpl-2"),
+    ("GPL v2 license", "gpl-2"), ("GPLv2 license", "gpl-2"), ("CC BY\n SA", "cc-by-sa"), ("CC-BY-SA", "cc-by-sa"), ("BSD  3  clause", "bsd-3"), ("end-user license agreement", "proprietary"), ("BSD+3+clause", ""),
+]
+
+
+def test_license_optional_spaces(spark):
+    assert labelled_like(spark, NAMES_OF_OPTIONAL_SPACES) == NAMES_OF_OPTIONAL_SPACES
+
+
+def test_license_rules_match_their_own_spelling():
+    written = [x for ids, names, texts in license_scan.LICENSES.values() for x in [*[None] * len(ids), *texts, *names]]
+    for r, x in zip(license_scan.rules(), written, strict=True):
+        assert x is None or all(re.search(r["re"], spelled(re._parser.parse(x), long)) for long in (0, 1)), x
+
+
 def test_quality(docs, texts, spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = by_id(quality.op3(docs, labels))
