@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -56,16 +56,18 @@ def fingerprint(text: str | bytes | None) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and ``f``."""
+def fingerprints(docs: DataFrame, **more: Column) -> DataFrame:
+    """doc_id, ``f`` and the longs of ``more``."""
+    names = ["doc_id", "f", *more]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             found = pa.array((fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None) for x in b.column(1)), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), found], ["doc_id", "f"])
+            yield pa.RecordBatch.from_arrays([b.column(0), found, *b.columns[2:]], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(batches, f"doc_id {kind}, f bigint")
+    also = [v.alias(k) for k, v in more.items()]
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *also).mapInArrow(batches, ", ".join([f"doc_id {kind}, f bigint", *[f"{k} bigint" for k in more]]))
 
 
 def _half_keys(prints: DataFrame) -> DataFrame:
@@ -140,17 +142,17 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Staged (doc_id, f), and staged (f, component) with the smallest doc_id that each fingerprint reaches."""
-    rows = shared.stage(fingerprints(docs), "simhash")
+def classes(docs: DataFrame, **more: Column) -> tuple[DataFrame, DataFrame]:
+    """Staged (doc_id, f, ``more``), and staged (f, component, root): the smallest doc_id and fingerprint that each one reaches."""
+    rows = shared.stage(fingerprints(docs, **more), "simhash")
     prints = shared.stage(rows.groupBy("f").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     found = shared.stage(links(prints.select("f")), "simhash-links")
     if found.isEmpty():
-        return rows, shared.stage(prints.select(F.col("f").alias("__f"), F.col("first").alias("component_id")), "simhash-classes")
+        return rows, shared.stage(prints.select(F.col("f").alias("__f"), F.col("first").alias("component_id"), F.col("f").alias("root")), "simhash-classes")
     roots = connected(found).withColumnsRenamed({"f": "v"})
     placed = shared.stage(prints.join(roots, F.col("f") == F.col("v"), "left").select("f", "first", F.coalesce("root", "f").alias("root")), "simhash-roots")
     lowest = shared.stage(placed.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r"), "simhash-lowest")
-    return rows, shared.stage(placed.join(lowest, F.col("root") == F.col("r")).select(F.col("f").alias("__f"), "component_id"), "simhash-classes")
+    return rows, shared.stage(placed.join(lowest, F.col("root") == F.col("r")).select(F.col("f").alias("__f"), "component_id", "root"), "simhash-classes")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -159,11 +161,17 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The document of each component with the smallest doc_id, with its columns; of rows that repeat it, one. Null doc_ids stay."""
-    _, placed = classes(docs.filter("doc_id IS NOT NULL"))
-    first = shared.stage(placed.select(F.col("component_id").alias("__id")).distinct(), "simhash-first")
-    rows = shared.whole_row(docs).withColumn("__key", F.col("__row.doc_id"))
-    kept = rows.join(first, F.col("__key") == F.col("__id")).groupBy("__key").agg(F.first("__row").alias("__row"))
+    """A row of each component with its smallest doc_id, with its columns. Null doc_ids stay.
+
+    Where rows of one component share that doc_id, the text and then the row with the smallest hash
+    stays; a doc_id is kept twice where its texts belong to two components.
+    """
+    found, placed = classes(docs.filter("doc_id IS NOT NULL"), h=F.xxhash64("text"))
+    first = found.join(placed, (F.col("f") == F.col("__f")) & (F.col("doc_id") == F.col("component_id")))
+    first = shared.stage(first.groupBy(F.col("doc_id").alias("__id"), "root").agg(F.min("h").alias("__h")).select("__id", "__h"), "simhash-first")
+    rows = shared.whole_row(docs).withColumn("__key", F.col("__row.doc_id")).withColumn("__text", F.xxhash64("__row.text"))
+    kept = rows.join(first, (F.col("__key") == F.col("__id")) & (F.col("__text") == F.col("__h")))
+    kept = kept.groupBy("__key", "__text").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
     return shared.unpacked(kept.select("__row").unionAll(rows.filter("__key IS NULL").select("__row")), docs.columns)
 
 

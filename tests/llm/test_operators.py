@@ -210,6 +210,19 @@ def test_simhash(docs, texts, monkeypatch, crowd):
         assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i in ids})
 
 
+def test_dedup_of_repeated_ids_with_different_texts(spark):
+    a, b, c = "one two three four five six", "quite another text of other words", "a third that nobody else holds"
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, b, "x"), (3, a, "x"), (4, c, "x"), (0, c, "x"), (0, a + " seven eight", "x"), (None, a, "x")]
+    assert all((brute_print(x) ^ brute_print(y)).bit_count() > 4 for x, y in [(a, b), (a, c), (b, c), (a, rows[7][1])])
+    want = None
+    for order in (rows, rows[::-1]):
+        for n in (1, 4):
+            got = sorted(map(tuple, simhash.dedup(spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(n)).collect()), key=repr)
+            assert sorted((r[:2] for r in got), key=repr) == sorted([(1, a), (1, b), (0, c), (0, rows[7][1]), (None, a)], key=repr)
+            want = want or got
+            assert got == want
+
+
 def test_forest_spans_components():
     rng = np.random.default_rng(1)
     base = rng.integers(-(1 << 62), 1 << 62, 3)
