@@ -6,9 +6,10 @@ need no lower-cased copy of a text.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,16 +22,38 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, at its end, the folders that were named inside; a path taken out of the list stays."""
+    _scopes.append(paths := [])
+    try:
+        yield paths
+    finally:
+        _scopes.remove(paths)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            at = jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -86,6 +109,8 @@ def spans(text: Column, pattern: str, gate: Column | None = None) -> Column:
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Rows of numbers that the driver holds, as a relation inside the JVM; the caller bounds their count."""
     names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    if len(rows) > 1000:
+        return spark.createDataFrame(rows, schema.replace(", ", ",").replace(" ", ":"))
     cast = ", ".join(f"CAST({n} AS {k}) AS {n}" for n, k in zip(names, kinds, strict=True))
     if not rows:
         return spark.sql(f"SELECT {', '.join(f'CAST(NULL AS {k}) AS {n}' for n, k in zip(names, kinds, strict=True))} WHERE false")
@@ -122,13 +147,18 @@ def prefix_by_hash(df: DataFrame, group: str, key: str, weight: str, tie: list[s
     return joined.withColumn(out, F.col("__within") + F.col("__before")).drop("__g", "__b", "__bin", "__within", "__before")
 
 
-#: Rows up to which a staged side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a staged side is broadcast; beyond them the join shuffles.
+BROADCAST_BYTES = 32 << 20
+
+
+def is_small(df: DataFrame, width: int) -> bool:
+    """Whether a staged table of rows of at most ``width`` bytes may be broadcast; it is counted."""
+    return df.count() * width <= BROADCAST_BYTES
 
 
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def sized(df: DataFrame, width: int = 64) -> DataFrame:
     """A staged table, marked for broadcast only if it was counted and is small."""
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if is_small(df, width) else df
 
 
 def same(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:
