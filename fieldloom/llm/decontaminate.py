@@ -7,15 +7,18 @@ those of the benchmark by hash; each hit is extended to both sides, word by word
 ``SPAN`` words or more agree. So hash collisions drop out, and what is left is every shared window.
 
 Items shorter than ``SPAN`` have no window of that length and are one window each: for each such
-length in the benchmark (at most ``SPAN - 1`` of them) all runs of documents are looked up.
+length in the benchmark (at most ``SPAN - 1`` of them) the runs of documents are hashed, too.
 
-Benchmark fingerprints are staged and counted. Up to ``shared.BROADCAST_ROWS`` they are broadcast,
-and documents are neither shuffled nor exploded beyond codegen; above, only (document, place,
-hash) rows are shuffled and texts of matched documents are joined back.
+Documents are screened first: in one scan all their hashes are held against those of the benchmark,
+and only documents that have one of them go on. That loses nothing, as every hit needs a common hash,
+and it is the same at every size of the benchmark: its hashes are broadcast as far as they fit into
+``shared.BROADCAST_BYTES`` and joined by a shuffle of (document, hash) beyond. Items' words are joined
+to hits by item, so no broadcast holds a word more than once.
 
 Null and blank texts have no words and are clean. Rows that repeat a doc_id are told apart by their
-text. Null item_ids hit words but are named by no digest. Columns beyond doc_id and text are kept
-by ``clean`` and otherwise ignored.
+text, and full repeats are counted. Null item_ids hit words but are named by no digest. Long texts
+cost in proportion to their words. An empty table gives no rows, an empty benchmark no hits. Columns
+beyond doc_id and text are kept by ``clean`` and otherwise ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,6 @@ from pyspark.sql import functions as F
 from . import shared
 
 K, SPAN = 5, 13
-#: Up to so many hashes of the benchmark are put into the plan, to pass over texts without any of them.
-LISTED = 20_000
 
 
 def _runs(hashes: Column, width: int) -> Column:
@@ -69,26 +70,21 @@ def fingerprints(df: DataFrame, keys: list[str], k: int = K, span: int = SPAN) -
     return df.select(*keys, "w", "g", F.explode_outer("at").alias("p")).select(*keys, "w", "p", F.get("g", F.col("p")).alias("f"))
 
 
-def screened(docs: DataFrame, keys: list[str], prints: DataFrame, k: int = K) -> DataFrame:
-    """(keys, n_words, text), where texts with none of the hashes of ``prints`` are null.
-
-    One scan counts words and looks hashes up in the list of them that is part of the plan. A
-    benchmark with more than ``LISTED`` hashes has no such list; then every text is passed on.
-    """
-    if prints.select("__f").distinct().count() > LISTED:
-        return docs.select(*keys, n_words(F.col("text")).alias("n_words"), "text")
-    listed = [r["__f"] for r in prints.filter("__f IS NOT NULL").select("__f").distinct().collect()]
-    among = F.from_json(F.lit(str(sorted(listed))), "array<bigint>")
-    df = _hashed(docs, keys).select(*keys, "text", F.size("h").alias("n"), _runs(F.col("h"), k).alias("g"))
-    return shared.stage(df.select(*keys, F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_words"), F.when(F.arrays_overlap("g", among), F.col("text")).alias("text")), "bench-screened")
-
-
 def all_runs(df: DataFrame, keys: list[str], width: int) -> DataFrame:
     """A row for each run of ``width`` words."""
     df = _hashed(df, keys).select(*keys, _words().alias("w"), _runs(F.col("h"), width).alias("g"))
     return df.select(*keys, "w", F.posexplode_outer("g").alias("p", "f"))
 
 
+def screened(docs: DataFrame, keys: list[str], hashes: DataFrame, widths: list[int]) -> DataFrame:
+    """A staged row for each (keys): n_words, how many rows have them, and whether a run of one of ``widths`` words has one of the staged ``hashes`` (__f)."""
+    df = _hashed(docs, keys).select(*keys, F.greatest(F.coalesce(F.size("h"), F.lit(0)), F.lit(0)).cast("long").alias("n"), F.concat(*[_runs(F.col("h"), n) for n in widths]).alias("g"))
+    df = df.select(*keys, "n", F.posexplode_outer("g").alias("p", "f"))
+    df = df.join(shared.sized(hashes), F.col("f") == F.col("__f"), "left")
+    made = [F.max("n").alias("n_words"), F.count_if(F.coalesce("p", F.lit(0)) == 0).alias("rows"), (F.count("__f") > 0).alias("hit")]
+    return shared.stage(df.groupBy(*keys).agg(*made), "bench-screened")
+
+
 def _agree(step: int, most: int, p: Column, q: Column) -> Column:
     """Neighbouring words that agree, from the places p and q on, in one direction."""
     return F.aggregate(
@@ -104,64 +100,79 @@ def extended(hits: DataFrame, keys: list[str], k: int = K, span: int = SPAN) ->
     return hits.filter(F.col("e") - F.col("s") >= span)
 
 
-def _met(found, docs: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``found(docs)`` that share a hash with the staged ``table``, with the words of both."""
-    if table.count() <= shared.BROADCAST_ROWS:
-        return found(docs).join(F.broadcast(table), F.col("f") == F.col("__f"))
-    narrow = found(docs).select(*keys, "p", "f").join(table, F.col("f") == F.col("__f")).withColumnsRenamed({k: f"__{k}" for k in keys})
-    texts = docs.select(*keys, _words().alias("w"))
-    return texts.join(narrow, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])).drop(*[f"__{k}" for k in keys])
+def _equal(keys: list[str], other: str = "__") -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{other}{k}")) for k in keys])
+
+
+def _met(found: DataFrame, prints: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, w, p, f) of documents that share a hash with the staged ``prints``, with the place there and the item's words.
+
+    Null hashes meet nothing. They aren't filtered: from such a filter the optimizer infers one on the arrays
+    below, and works these out anew for each element.
+    """
+    met = found.join(shared.sized(prints), F.col("f") == F.col("__f"))
+    size = items.agg(F.sum(F.octet_length("text") * 3 + 64).alias("n")).first()["n"] or 0  # words as an array take some bytes each
+    words = items.select(F.col("__n").alias("__m"), "__item", _words().alias("__w"))
+    return met.join(F.broadcast(words) if size <= shared.BROADCAST_BYTES else words, F.col("__n") == F.col("__m"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, k: int = K, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
-    """Of all documents (doc_id, __t, n_words); of those with hits (doc_id, __t, n_hit, n_items, items_sha256). ``__t`` is a hash of the text."""
+    """Of all documents (doc_id, __t, n_words, rows); of those with hits (doc_id, __t, n_hit, n_items, items_sha256, whole), where ``whole`` says that ``span`` words in a row are hit.
+
+    ``__t`` is a hash of the text; a row stands for ``rows`` equal ones.
+    """
     keys = ["doc_id", "__t"]
-    docs = docs.select("doc_id", F.xxhash64("text").alias("__t"), "text")
-    items = benchmark.select(F.col("item_id").cast("string").alias("__item"), "text")
-    long = fingerprints(items, ["__item"], k, span).select("__item", F.col("w").alias("__w"), F.col("p").alias("__q"), F.col("f").alias("__f"))
-    long = shared.stage(long, "bench-prints")
-    every = screened(docs, keys, long, k)
-    parts = [extended(_met(lambda d: fingerprints(d, keys, k, span), every.filter("text IS NOT NULL"), long, keys), keys, k, span)]
-    sizes = items.select(F.size(_words()).alias("n")).filter(F.col("n").between(1, span - 1)).distinct()
-    for n in sorted(r["n"] for r in sizes.collect()):
-        short = all_runs(items, ["__item"], n).filter(F.size("w") == n)
-        short = shared.stage(short.select("__item", F.col("w").alias("__w"), F.lit(0).alias("__q"), F.col("f").alias("__f")), "bench-short")
-        met = _met(lambda d, n=n: all_runs(d, keys, n), docs, short, keys)
+    docs = docs.select("doc_id", F.xxhash64("text").alias("__t"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("__item"), F.col("text").cast("string").alias("text")).filter(F.size(_words()) > 0)
+    items = shared.stage(items.withColumn("__n", F.xxhash64("__item", "text")), "bench-items")
+    narrow = lambda df, p: df.select("__n", p.alias("__q"), F.col("f").alias("__f")).distinct()
+    sizes = sorted(r["n"] for r in items.select(F.size(_words()).alias("n")).filter(F.col("n") < span).distinct().collect())
+    prints = {span: shared.stage(narrow(fingerprints(items, ["__n"], k, span), F.col("p")), "bench-prints")}
+    for n in sizes:
+        prints[n] = shared.stage(narrow(all_runs(items, ["__n"], n).filter(F.size("w") == n), F.lit(0)), "bench-short")
+    hashes = shared.stage(reduce(DataFrame.unionAll, [x.select("__f") for x in prints.values()]).distinct(), "bench-hashes")
+    every = screened(docs, keys, hashes, [k, *sizes])
+    some = shared.stage(every.filter("hit").select(*[F.col(c).alias(f"__{c}") for c in keys]), "bench-some")
+    some = docs.join(shared.sized(some), _equal(keys), "left_semi").dropDuplicates(keys) if _repeated(every) else docs.join(shared.sized(some), _equal(keys), "left_semi")
+    some = shared.stage(some, "bench-texts")
+    parts = [extended(_met(fingerprints(some, keys, k, span), prints[span], items, keys), keys, k, span)]
+    for n in sizes:
+        met = _met(all_runs(some, keys, n), prints[n], items, keys)
         parts.append(met.filter(F.slice("w", F.col("p") + 1, n) == F.col("__w")).select(*keys, "__item", F.col("p").alias("s"), (F.col("p") + n).alias("e")))
     found = reduce(DataFrame.unionAll, parts)
-    by = found.groupBy(*keys).agg(F.collect_set(F.struct("s", "e")).alias("spans"), F.array_sort(F.collect_set("__item")).alias("items"))
+    by = found.groupBy(*keys).agg(F.collect_set(F.struct("s", "e")).alias("spans"), F.array_sort(F.collect_set("__item")).alias("items"), F.max(F.col("e") - F.col("s") >= span).alias("whole"))
     start = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))
     step = lambda acc, x: F.struct(F.greatest(acc.to, x.e).alias("to"), (acc.n + F.greatest(x.e - F.greatest(x.s, acc.to), F.lit(0))).alias("n"))
     n_hit = F.aggregate(F.array_sort("spans"), start, step, lambda acc: acc.n)
-    by = by.select(*keys, n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    return every.select(*keys, "n_words"), shared.stage(by, "bench-hits")
+    by = by.select(*keys, n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "whole")
+    return every.select(*keys, "n_words", "rows"), shared.stage(by, "bench-hits")
 
 
-def _is_bad() -> Column:
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+def _repeated(every: DataFrame) -> bool:
+    return not every.filter("hit AND rows > 1").isEmpty()
 
 
-def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(shared.WORD)), F.lit(0)).cast("long")
+def _is_bad() -> Column:
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     every, found = hits(docs, benchmark)
-    found = found.withColumnsRenamed({"doc_id": "__id", "__t": "__u"})
-    df = every.join(shared.sized(found), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__u")), "left")
+    found = found.withColumnsRenamed({"doc_id": "__doc_id", "__t": "____t"})
+    df = every.join(shared.sized(found, 160), _equal(["doc_id", "__t"]), "left")
     none = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)}
-    df = df.withColumns({k: F.coalesce(k, v) for k, v in none.items()})
+    df = df.withColumns({k: F.coalesce(k, v) for k, v in none.items()}).withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
     return df.select("doc_id", "n_words", *none, _is_bad().alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated."""
-    _, found = hits(docs, benchmark)
-    found = found.select(F.col("doc_id").alias("__id"), F.col("__t").alias("__u"), "n_hit")
-    rows = shared.whole_row(docs).withColumn("__t", F.xxhash64("__row.text"))
-    on = F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__u"))
-    bad = F.when(F.col("n_hit").isNotNull(), 20 * F.col("n_hit") >= n_words(F.col("__row.text"))).otherwise(False)
-    return shared.unpacked(rows.join(shared.sized(found), on, "left").filter(~bad), docs.columns)
+    """The documents without hits of ``SPAN`` words in a row, however long they are, and with less than 5 % of their words in hits of short items."""
+    every, found = hits(docs, benchmark)
+    found = found.withColumnsRenamed({"doc_id": "__doc_id", "__t": "____t"})
+    bad = every.join(shared.sized(found, 160), _equal(["doc_id", "__t"])).filter(_is_bad() | F.col("whole"))
+    bad = shared.stage(bad.select(F.col("doc_id").alias("__doc_id"), F.col("__t").alias("____t")), "bench-bad")
+    rows = shared.whole_row(docs).select("__row", F.col("__row.doc_id").alias("doc_id"), F.xxhash64("__row.text").alias("__t"))
+    return shared.unpacked(rows.join(shared.sized(bad), _equal(["doc_id", "__t"]), "left_anti"), docs.columns)
 
 
 def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
