@@ -9,9 +9,11 @@ that few good documents fall, and without bad labels that floor alone is the thr
 
 Labels may be as many as documents, so the ``TRUSTED`` labelled documents with the smallest hashes
 are used: the trusted target is counted on one half of them and the threshold is set on the other,
-whose words the target hasn't seen, as it hasn't seen those of unlabelled documents. The corpus multinomial counts every
-document. The table of ratios has ``BUCKETS`` numbers, whatever the corpus, in whole thousandths, so that
-the plan stays short, and enters the scoring scan as one literal: documents are never joined, shuffled or collected.
+whose words the target hasn't seen, as it hasn't seen those of unlabelled documents. Of that half only texts that
+pass the base rules count, as the others are rejected anyway. The corpus multinomial counts every
+document. The table of ratios has ``BUCKETS`` numbers, whatever the corpus; it is one row of a staged table and enters
+the scoring scan as the value of a scalar subquery: documents are never joined, shuffled or collected. Ratios are
+whole multiples of 10^-9, so sums don't depend on their order and verdicts are the same in each run.
 
 Null and blank texts have no words and fail the base rules. Without labels no text can be trusted:
 all ratios are 0 and the base rules alone decide. Repeated rows get equal verdicts. A text of one
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-BUCKETS, TRUSTED, FLOOR = 1 << 16, 20_000, 2.5
-#: Log ratios are kept in whole parts of this size.
-UNIT = 1000
+BUCKETS, TRUSTED, FLOOR = 1 << 16, 20_000, 3.0
+#: Log ratios are whole parts of this size.
+UNIT = 10**9
 MIN_WORDS = 50
 
 
@@ -54,30 +56,21 @@ def labelled(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     return one.orderBy(F.xxhash64("__id"), "__id").limit(most).withColumn("__fit", F.xxhash64(F.lit(1), F.col("__id")) % 2 == 0)
 
 
-def log_ratios(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> list[int]:
-    """For each bucket log P(bucket | trusted) - log P(bucket | corpus), with add-one smoothing, in ``1 / UNIT``.
+def log_ratios(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One staged row with an array: for each bucket log P(bucket | trusted) - log P(bucket | corpus), with add-one smoothing, in ``1 / UNIT``.
 
-    The driver gets ``buckets`` sums, a number that is fixed before any data are read.
+    One task gathers ``buckets`` sums, a number that is fixed before any data are read.
     """
     flat = docs.select("doc_id", F.col("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id"), "left")
     flat = flat.select(F.when(F.col("__fit"), F.col("__good")).otherwise(0).alias("good"), word_hashes(shared.words(F.col("text"))).alias("h"))
     flat = flat.select("good", ngram_hashes(F.col("h")).alias("g")).select("good", F.explode_outer("g").alias("g")).select("good", F.pmod("g", F.lit(buckets)).cast("int").alias("bucket"))
-    got = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")).collect()
-    corpus, trusted = [1] * buckets, [1] * buckets
-    for r in got:
-        if r["bucket"] is None:
-            continue
-        corpus[r["bucket"]] += r["n"]
-        trusted[r["bucket"]] += r["good"]
-    if sum(trusted) == buckets:
-        return [0] * buckets
-    a, b = math.log(sum(trusted)), math.log(sum(corpus))
-    return [round(UNIT * (math.log(t) - a - math.log(c) + b)) for t, c in zip(trusted, corpus, strict=True)]
-
-
-def table_literal(values: list[int]) -> Column:
-    """The values as one array literal: parsed once by the optimizer, then a constant of the plan."""
-    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<int>")
+    counts = shared.stage(flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")).filter("bucket IS NOT NULL"), "quality-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
+    share = lambda c, of: F.log((F.coalesce(c, F.lit(0)) + 1).cast("double")) - math.log(of + buckets)
+    ratio = share(F.col("good"), total["good"]) - share(F.col("n"), total["n"]) if total["good"] else F.lit(0.0)
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, F.col("b") == F.col("bucket"), "left")
+    every = every.select("b", F.round(ratio * UNIT).cast("long").alias("v"))
+    return shared.stage(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "v"))), lambda x: x.v).alias("ratios")), "quality-ratios")
 
 
 def score(hashes: Column, table: Column, buckets: int = BUCKETS) -> Column:
@@ -87,12 +80,9 @@ def score(hashes: Column, table: Column, buckets: int = BUCKETS) -> Column:
     return F.aggregate(each, F.lit(0).cast("long"), lambda acc, x: acc + x) / F.nullif(2.0 * UNIT * F.size(hashes), F.lit(0.0))
 
 
-def threshold(docs: DataFrame, sample: DataFrame, table: Column, buckets: int = BUCKETS) -> float:
-    """From the scores of the labelled sample; minus infinity without good ones."""
-    scored = docs.select("doc_id", "text").join(F.broadcast(sample.filter("NOT __fit")), F.col("doc_id") == F.col("__id"))
-    scored = scored.select("__good", word_hashes(shared.words(F.col("text"))).alias("h"))
-    scored = scored.select("__good", score(F.col("h"), table, buckets).alias("s"))
-    by = {r["__good"]: r for r in scored.groupBy("__good").agg(F.count("s").alias("n"), F.avg("s").alias("m"), F.coalesce(F.stddev_samp("s"), F.lit(0.0)).alias("d")).collect()}
+def threshold(scored: DataFrame) -> float:
+    """From (__good, score) of labelled texts; minus infinity without good ones."""
+    by = {r["__good"]: r for r in scored.groupBy("__good").agg(F.count("score").alias("n"), F.avg("score").alias("m"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("d")).collect()}
     by = {k: r for k, r in by.items() if r["n"]}
     if 1 not in by:
         return float("-inf")
@@ -147,23 +137,30 @@ def base(text: Column, words: Column, hashes: Column, ordered: Column) -> dict[s
     return {k: v.cast("long") for k, v in made.items()}
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Column, float]:
-    """The table of log ratios and the threshold."""
+def measured(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The columns of ``rows`` but text, beside base counts, score and whether the base rules fail; ``table`` is the row of ratios."""
+    names = [c for c in rows.columns if c != "text"]
+    df = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("words", shared.words(F.col("text"))).withColumn("h", word_hashes(F.col("words")))
+    df = df.withColumn("w", windows(F.col("h"))).withColumn("s", F.sort_array("w")).withColumn("table", table.scalar())
+    counts = base(F.col("text"), F.col("words"), F.col("w"), F.col("s"))
+    df = df.select(*names, *[v.alias(k) for k, v in counts.items()], score(F.col("h"), F.col("table")).alias("score"))
+    return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """The row of log ratios, and the threshold."""
     sample = shared.stage(labelled(labels), "quality-sample")
-    table = table_literal(log_ratios(docs, sample))
-    return table, threshold(docs, sample, table)
+    table = log_ratios(docs, sample)
+    held = docs.select("doc_id", "text").join(F.broadcast(sample.filter("NOT __fit")), F.col("doc_id") == F.col("__id")).select("__good", "text")
+    held = shared.stage(shared.settled(measured(held, table), F.lit(True)).select("__good", "score", "base_failed"), "quality-held")
+    return table, threshold(held.filter("NOT base_failed"))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` as ``__row``, beside their base counts, score and verdict."""
     table, least = fitted(docs, labels)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    df = row.withColumn("text", F.coalesce("__row.text", F.lit(""))).withColumn("words", shared.words(F.col("text"))).withColumn("h", word_hashes(F.col("words")))
-    df = df.withColumn("w", windows(F.col("h"))).withColumn("s", F.sort_array("w"))
-    counts = base(F.col("text"), F.col("words"), F.col("w"), F.col("s"))
-    df = df.select("__row", *[v.alias(k) for k, v in counts.items()], score(F.col("h"), table).alias("score"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(F.col("score") >= F.lit(least), F.lit(True)))
+    df = measured(shared.whole_row(docs).withColumn("text", F.col("__row.text")), table)
+    return df.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= F.lit(least), F.lit(True)))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
