@@ -12,7 +12,8 @@ the last one states; a record with a segment missing, doubled or of wrong length
 is a payload whose digest differs from the header's. A group is one record, whatever its source.
 
 Null pages have the empty payload. Pages may repeat: each row is a record of its own, and rows that
-repeat the smallest id are all responses. Null page_ids are written as no id and read as null. An
+repeat the smallest id are all responses; a revisit gets the length of the response with its id and
+digest, as other payloads may have the same id. Null page_ids are written as no id and read as null. An
 empty table gives no rows. Extra columns are ignored.
 """
 
@@ -211,10 +212,10 @@ def reassembled(table: pa.Table) -> pa.Table:
 def round_trip(pages: DataFrame, **how) -> DataFrame:
     folder = shared.fresh_path(pages.sparkSession, "warc")
     found = shared.stage(read(write(pages, folder, **how), folder), "warc-read")
-    sizes = found.filter("kind = 'response'").groupBy(F.col("page_id").alias("__page")).agg(F.max("n").alias("__n"))
-    sizes = shared.stage(sizes, "warc-sizes")
-    out = found.join(sizes, F.col("refers_to") == F.col("__page"), "left")
-    return out.select("page_id", F.coalesce("n", "__n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+    sizes = found.filter("kind = 'response'").groupBy(F.col("page_id").alias("__page"), F.col("digest").alias("__digest")).agg(F.max("n").alias("__n"))
+    again = found.filter("kind = 'revisit'").drop("n").join(shared.stage(sizes, "warc-sizes"), (F.col("refers_to") == F.col("__page")) & (F.col("digest") == F.col("__digest")), "left")
+    out = found.filter("kind <> 'revisit'").unionByName(again.withColumnRenamed("__n", "n").drop("__page", "__digest"))
+    return out.select("page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
 def op5(pages: DataFrame) -> DataFrame:
