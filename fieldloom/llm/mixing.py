@@ -53,8 +53,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return ranked.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")).alias("target"))
 
 
-def plan_mix(docs: DataFrame, seed: int = 42, rows_per_bin: int = 20_000, **how) -> DataFrame:
-    """One row a document: doc_id, size, source, source_size, target, taken."""
+def _placed(docs: DataFrame, seed: int = 42, rows_per_bin: int = 20_000, **how) -> DataFrame:
+    """One row a document: doc_id, size, source, source_size, target, taken, and its key, the words before it, the whole epochs of its source and the rest."""
     sized = shared.stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "mix-sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     found = shared.stage(found, "mix-sources")
@@ -67,7 +67,12 @@ def plan_mix(docs: DataFrame, seed: int = 42, rows_per_bin: int = 20_000, **how)
     turns = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - turns * F.col("source_size")
     partly = F.least(F.greatest(rest - F.col("__prefix"), F.lit(0)), F.col("size"))
-    return placed.withColumn("taken", (turns * F.col("size") + partly).cast("long")).drop("__key", "__prefix")
+    return placed.withColumn("taken", (turns * F.col("size") + partly).cast("long")).withColumn("__turns", turns).withColumn("__rest", rest)
+
+
+def plan_mix(docs: DataFrame, **how) -> DataFrame:
+    """One row a document: doc_id, size, source, source_size, target, taken."""
+    return _placed(docs, **how).drop("__key", "__prefix", "__turns", "__rest")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -75,28 +80,40 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(shared.words(text, r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(1), n.cast("int")), "")
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: each document as often as taken, the last copy cut at the word; columns of ``docs``."""
-    kept = plan_mix(docs, **how).filter("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.collect_list("taken").alias("__all"))
-    kept = shared.stage(kept, "mix-kept")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    left = docs.select(row).withColumn("__key", F.col("__row.doc_id")).withColumn("__src", F.col("__row.source").cast("string")).withColumn("__words", word_count(F.col("__row.text")))
-    left = left.join(shared.sized(kept), F.col("__key").eqNullSafe(F.col("__id")) & F.col("__src").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
-    return _copies(left, docs, not kept.filter(F.size("__all") > 1).isEmpty())
-
-
-def _copies(left: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
-    """Rows that share doc_id, source and size are told apart by their number within that small group."""
-    whole = F.floor(F.col("__taken") / F.col("__words"))
-    rest = (F.col("__taken") - whole * F.col("__words")).cast("long")
-    number = F.row_number().over(W.partitionBy("__key", "__src", "__words").orderBy(F.xxhash64("__row.text")))
-    single = left.filter(F.size("__all") == 1).withColumn("__taken", F.element_at("__all", 1))
-    several = left.filter(F.size("__all") > 1).withColumn("__n", number).withColumn("__taken", F.try_element_at(F.sort_array("__all", asc=False), F.col("__n"))).drop("__n")
-    both = (single.unionByName(several) if repeated else single).filter("__taken > 0")
-    sizes = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(shared.nothing("array<bigint>")))
-    out = both.select("__row", F.explode(sizes).alias("__cut"))
-    cut = F.when(F.col("__cut") < 0, F.col("__row.text")).otherwise(first_words(F.col("__row.text"), F.col("__cut")))
-    out = out.withColumn("__text", cut)
+def mix(docs: DataFrame, seed: int = 42, **how) -> DataFrame:
+    """The mixed corpus: each document as often as taken, the last copy cut at the word; columns of ``docs``.
+
+    A source is cut in one place of its order: what lies before is taken once more, what lies behind
+    isn't. So texts meet one row a source, the key where it is cut, and are never shuffled. Only rows
+    that share the doc_id of the cut are numbered among themselves.
+    """
+    plan = shared.stage(_placed(docs, seed, **how).filter("size > 0").select("source", "__key", "size", "__prefix", "__turns", "__rest"), "mix-plan")
+    last = F.max(F.when(F.col("__prefix") < F.col("__rest"), F.col("__key")))
+    cuts = shared.stage(plan.groupBy("source").agg(F.max("__turns").alias("turns"), F.max("__rest").alias("rest"), last.alias("cut")), "mix-last")
+    at = plan.select("source", "__key", "__prefix").join(shared.sized(cuts.select(F.col("source").alias("__s"), "cut"), 256), F.col("source").eqNullSafe(F.col("__s")) & (F.col("__key") == F.col("cut")))
+    at = at.groupBy(F.col("source").alias("__s")).agg(F.min("__prefix").alias("base"), F.count(F.lit(1)).alias("n"))
+    cuts = cuts.join(at, F.col("source").eqNullSafe(F.col("__s")), "left").select(F.col("source").alias("__source"), F.struct("turns", "rest", "cut", "base", "n").alias("__cut"))
+    cuts = shared.stage(cuts, "mix-cuts")
+    left = shared.whole_row(docs).withColumn("__key", random_key(F.col("__row.doc_id"), seed)).withColumn("__words", word_count(F.col("__row.text")))
+    left = left.filter("__words > 0").join(shared.sized(cuts, 256), F.col("__row.source").cast("string").eqNullSafe(F.col("__source")))
+    partly = lambda before: F.least(F.greatest(F.col("__cut.rest") - before, F.lit(0)), F.col("__words"))
+    rest = F.when(F.col("__key") < F.col("__cut.cut"), F.col("__words")).when(F.col("__key") == F.col("__cut.cut"), partly(F.col("__cut.base"))).otherwise(F.lit(0))
+    several = F.coalesce((F.col("__key") == F.col("__cut.cut")) & (F.col("__cut.n") > 1), F.lit(False))
+    one = left.filter(~several).withColumn("__rest", rest)
+    if not cuts.filter("__cut.n > 1").isEmpty():
+        run = W.partitionBy("__source", "__key").orderBy("__words", F.xxhash64("__row.text")).rowsBetween(W.unboundedPreceding, -1)
+        before = F.col("__cut.base") + F.coalesce(F.sum("__words").over(run), F.lit(0))
+        one = one.unionByName(left.filter(several).withColumn("__rest", partly(before)))
+    return _copies(one, docs)
+
+
+def _copies(left: DataFrame, docs: DataFrame) -> DataFrame:
+    """A row for each whole epoch, and one for the rest."""
+    whole = F.col("__cut.turns") + F.when(F.col("__rest") == F.col("__words"), 1).otherwise(0)
+    rest = F.when((F.col("__rest") > 0) & (F.col("__rest") < F.col("__words")), F.array(F.col("__rest").cast("long"))).otherwise(shared.nothing("array<bigint>"))
+    out = left.select("__row", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), rest)).alias("__left"))
+    text = F.when(F.col("__left") < 0, F.col("__row.text")).otherwise(first_words(F.col("__row.text"), F.col("__left")))
+    out = out.withColumn("__text", text)
     made = {"text": F.col("__text")} | ({"n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[made.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
