@@ -168,10 +168,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     found, placed = classes(docs.filter("doc_id IS NOT NULL"), h=F.xxhash64("text"))
     first = found.join(placed, (F.col("f") == F.col("__f")) & (F.col("doc_id") == F.col("component_id")))
-    first = shared.stage(first.groupBy(F.col("doc_id").alias("__id"), "root").agg(F.min("h").alias("__h")).select("__id", "__h"), "simhash-first")
+    first = first.groupBy(F.col("doc_id").alias("__id"), "root", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("__id", "root").agg(F.min(F.struct("h", "n")).alias("x"))
+    first = shared.stage(first.select("__id", F.col("x.h").alias("__h"), F.col("x.n").alias("__n")), "simhash-first")
     rows = shared.whole_row(docs).withColumn("__key", F.col("__row.doc_id")).withColumn("__text", F.xxhash64("__row.text"))
-    kept = rows.join(first, (F.col("__key") == F.col("__id")) & (F.col("__text") == F.col("__h")))
-    kept = kept.groupBy("__key", "__text").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    kept = rows.join(shared.sized(first, 96), (F.col("__key") == F.col("__id")) & (F.col("__text") == F.col("__h")))
+    if not first.filter("__n > 1").isEmpty():  # rows with one text and one id: these alone meet in a shuffle
+        again = kept.filter("__n > 1").groupBy("__key", "__text").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+        kept = kept.filter("__n = 1").select("__row").unionAll(again.select("__row"))
     return shared.unpacked(kept.select("__row").unionAll(rows.filter("__key IS NULL").select("__row")), docs.columns)
 
 
