@@ -8,8 +8,9 @@ nodes at once: sums by cell of the coordinate, sums by hash range inside the cel
 in, and a running sum over the few rows of the last range. So the cut is exact to one document,
 even if a third of all rows share a coordinate, and no task holds a node.
 
-The driver holds one row a node; their number is bounded by ``MAX_LEAVES``. Law of the result:
-``bytes``. Documents of equal text get no common shard: a group of copies may be larger than one.
+The driver holds one row a node, so it is bounded by the number of shards. Law of the result: ``bytes``.
+Documents of equal text get no common shard, as a group of copies may be larger than one; the
+order inside a cell is by a hash of id and text, so that a cut through many copies has few rows to sort.
 
 Null texts weigh one byte, null doc_ids, langs and sources have places of their own, rows that
 repeat a doc_id are told apart by their text, and full repeats by a running number. An empty table
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-LAW, LEAVES, MAX_LEAVES = "bytes", 8, 4096
-#: Cells of a coordinate and hash ranges inside a cell.
-CELLS, RANGES = 4096, 4096
+LAW, LEAVES = "bytes", 8
+#: Cells of a coordinate and hash ranges inside a cell; with many nodes fewer, so that a level has at most ``SUMS`` sums.
+CELLS, RANGES, SUMS = 4096, 4096, 1 << 24
 
 
 def text_size(text: Column) -> Column:
@@ -59,8 +60,6 @@ def shards(docs: DataFrame, leaves: int = LEAVES, target_bytes: int | None = Non
     whole = df.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), *[f(c).alias(f"{f.__name__}{c}") for c in names for f in (F.min, F.max)]).first()
     if target_bytes:
         leaves = leaves_for(whole["size"] or 0, target_bytes)
-    if leaves > MAX_LEAVES:
-        raise ValueError(f"{leaves} leaves; shard in two rounds beyond {MAX_LEAVES}")
     spread = {c: (whole[f"max{c}"] - whole[f"min{c}"]) or 1.0 for c in names} if whole["n"] else {}
     open_, next_id = {0: leaves}, 1  # node -> leaves below it
     while whole["n"] and any(n > 1 for n in open_.values()):
@@ -81,10 +80,9 @@ def shards(docs: DataFrame, leaves: int = LEAVES, target_bytes: int | None = Non
 def _split(df: DataFrame, nodes: dict[int, int], names: list[str], spread: dict[str, float], next_id: int) -> tuple[DataFrame, dict]:
     """Split each of ``nodes`` (node -> leaves); returns the rows with their new nodes, and the children."""
     spark = df.sparkSession
-    inside = F.col("__node").isin(*nodes)
-    found = df.filter(inside).groupBy("__node").agg(F.sum("size").alias("size"), *[f(c).alias(f"{f.__name__}{c}") for c in names for f in (F.min, F.max)]).collect()
-    seen = {r["__node"]: r for r in found}
-    plan, cut = [], {}
+    found = df.groupBy("__node").agg(F.sum("size").alias("size"), *[f(c).alias(f"{f.__name__}{c}") for c in names for f in (F.min, F.max)]).collect()
+    seen = {r["__node"]: r for r in found if r["__node"] in nodes}
+    plan, cut, cells_ = [], {}, max(16, min(CELLS, SUMS // max(1, len(nodes))))
     for at, (k, n) in enumerate(sorted(nodes.items())):
         left, right, a = next_id + 2 * at, next_id + 2 * at + 1, (n + 1) // 2
         cut[k] = (left, right, a, n - a)
@@ -92,11 +90,11 @@ def _split(df: DataFrame, nodes: dict[int, int], names: list[str], spread: dict[
             r = seen[k]
             wide = max(range(len(names)), key=lambda i: ((r[f"max{names[i]}"] - r[f"min{names[i]}"]) / spread[names[i]], -i))
             low, high = r[f"min{names[wide]}"], r[f"max{names[wide]}"]
-            plan.append((k, wide, low, CELLS / (high - low) if high > low else 0.0, r["size"] * a // n, left, right))
+            plan.append((k, wide, low, cells_ / (high - low) if high > low else 0.0, r["size"] * a // n, left, right))
     table = shared.small_table(spark, plan, "__k int, __wide int, __low double, __scale double, __goal bigint, __left int, __right int")
     rows = df.join(F.broadcast(table), F.col("__node") == F.col("__k"), "left")
     place = F.element_at(F.array(*names), F.col("__wide") + 1)
-    rows = rows.withColumn("__cell", F.least(F.floor((place - F.col("__low")) * F.col("__scale")), F.lit(CELLS - 1)).cast("int"))
+    rows = rows.withColumn("__cell", F.least(F.floor((place - F.col("__low")) * F.col("__scale")), F.lit(cells_ - 1)).cast("int"))
     rows = rows.withColumn("__range", F.shiftright("__h", 63 - (RANGES.bit_length() - 1)).cast("int"))
     cells = _crossing(rows.filter(F.col("__k").isNotNull()).groupBy("__k", "__cell").agg(F.sum("size").alias("w"), F.first("__goal").alias("goal")), "__cell")
     first = shared.small_table(spark, cells, "__k1 int, __cell1 int, __goal1 bigint")
