@@ -15,13 +15,15 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
-RULE_VERSION = 1
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Base kinds in their order: expression, gate, and the test of a match.
 BASE = {
@@ -41,6 +43,10 @@ MORE = {
 }
 
 
+#: Changes with the rules, so that a ledger of other rules is never taken for one of these.
+RULE_VERSION = hashlib.sha256(repr([(k, r[0], r[1], inspect.getsource(r[2]) if r[2] else None) for k, r in {**BASE, **MORE}.items()]).encode()).hexdigest()[:16]
+
+
 def blob(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
@@ -68,12 +74,13 @@ def search(blobs: DataFrame) -> DataFrame:
     return df.select("blob", F.lit(RULE_VERSION).alias("rule_version"), *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(every).alias("spans"))
 
 
-LEDGER = "blob string, rule_version int, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
+LEDGER = "blob string, rule_version string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
 
 
 def read_ledger(spark, path: str) -> DataFrame | None:
+    """A row for each blob that these rules have seen. Scans that overlap may both write a blob; their rows are equal and one is read."""
     try:
-        return spark.read.schema(LEDGER).parquet(path).filter(F.col("rule_version") == RULE_VERSION)
+        return spark.read.schema(LEDGER).parquet(path).filter(F.col("rule_version") == RULE_VERSION).dropDuplicates(["blob"])
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
