@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, license_scan, mixing, pii, quality, secret_scan, sharding, simhash, suffix_dedup, warc
+from fieldloom.llm import decontaminate, license_scan, mixing, pii, quality, secret_scan, sharding, shared, simhash, suffix_dedup, warc
 
 SPACED, WORD = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOISE = [
@@ -43,25 +43,76 @@ def lower(t):
     return re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
 
 
-def test_suffix_dedup(docs, texts, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CHUNK", 50_000)
+def brute_repeats(texts):
+    """Rows of op1, and the texts' remaining bytes."""
     raw = [(i, (t or "").encode()) for i, t in texts]
-    seen = Counter(b[k : k + 400] for _, b in raw for k in range(len(b) - 399))
-    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.op1(docs).collect())
-    want = Counter()
-    for i, b in raw:
-        mark = bytearray(len(b))
+    seen = Counter(hash(b[k : k + 400]) for _, b in raw for k in range(len(b) - 399))
+    worded = [re.findall(SPACED, t or "") for _, t in texts]
+    runs = Counter(tuple(ws[k : k + 50]) for ws in worded for k in range(len(ws) - 49))
+    rows, left = Counter(), []
+    for (i, b), ws in zip(raw, worded, strict=True):
+        mark, inside = bytearray(len(b)), set()
         for k in range(len(b) - 399):
-            if seen[b[k : k + 400]] > 1:
+            if seen[hash(b[k : k + 400])] > 1:
                 mark[k : k + 400] = b"\1" * 400
+        for k in range(len(ws) - 49):
+            if runs[tuple(ws[k : k + 50])] > 1:
+                inside |= set(range(k, k + 50))
         kept = bytes(v for v, m in zip(b, mark, strict=True) if not m)
-        want[i, len(b), sum(mark), len(re.findall(rb"\x01+", bytes(mark))), hashlib.sha256(kept).hexdigest()] += 1
+        left.append((i, kept.decode(errors="ignore")))
+        rows[i, len(b), sum(mark), len(re.findall(rb"\x01+", bytes(mark))), hashlib.sha256(kept).hexdigest(), len(inside)] += 1
+    return rows, left
+
+
+def found_repeats(df):
+    return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passage_words"]) for r in suffix_dedup.op1(df).collect())
+
+
+@pytest.mark.parametrize(("chunk", "block", "broadcast"), [(50_000, 1 << 20, 32 << 20), (200_000, 3_000, 0)])
+def test_suffix_dedup(docs, texts, monkeypatch, chunk, block, broadcast):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", broadcast)
+    want, left = brute_repeats(texts)
+    assert found_repeats(docs) == want
+    if broadcast:
+        cleaned = suffix_dedup.cleaned(docs)
+        assert cleaned.columns == docs.columns and sorted((r["doc_id"], r["text"] or "") for r in cleaned.collect()) == sorted(left)
+
+
+def test_suffix_dedup_of_repetitive_texts(spark):
+    """Texts that repeat inside, a run across texts that is long in words but not in bytes, and one text of 3 MB."""
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 26, 4)) for _ in range(900)]
+    take = lambda n: " ".join(words[x] for x in rng.integers(0, 900, n))
+    passage, block, period = take(52), take(100), take(30) + " "
+    long = take(500_000)
+    texts = [
+        (1, take(80) + "\n" + passage + " " + take(40)), (2, passage + "\t" + take(300)), (3, take(20) + block + take(20) + block), (4, "ab" * 2000), (5, period * 60), (6, period[:77] * 30),
+        (7, long), (8, long[1_000_000:1_000_900] + " " + take(70)), (9, take(49)), (10, " ".join("a" * 1 for _ in range(50))), (11, "b " + " ".join("a" for _ in range(50))), (12, "x y z"), (12, "x y z"),
+    ]
+    want, _ = brute_repeats(texts)
+    got = found_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(4))
     assert got == want
+    by = {k[0]: k for k in got}
+    assert by[1][2] == 0 and by[1][5] == by[2][5] == 52 and by[10][5] == 50 and by[8][2] >= 900
+
+
+def test_ranks_that_share_64_bits():
+    """Equal first hashes with other second ones are told apart, in whatever order they stand."""
+    found, more = np.array([5, 5, 5, 9, 7], np.uint64), np.array([1, 2, 1, 1, 1], np.uint32)
+    order, first, alone = suffix_dedup.settle(found, more)
+    assert sorted(order[~alone].tolist()) == [0, 2] and first.sum() == 4
+    for n in (0, 1, 1000):
+        a, b = np.sort(np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64)), np.arange(n, dtype=np.uint32)
+        x, y = suffix_dedup.unpacked(suffix_dedup.packed(a, b))
+        assert (x == a).all() and (y == b).all()
 
 
 def test_difference_cover():
-    period, cover = suffix_dedup.difference_cover(5)
-    assert period == 31 and {(a - b) % period for a in cover for b in cover} == set(range(period))
+    for q in (5, 13):
+        period, cover = suffix_dedup.difference_cover(q)
+        assert period == q * q + q + 1 and {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
 def test_license_scan(docs, texts):
@@ -72,7 +123,8 @@ def test_license_scan(docs, texts):
         r = got[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(ws), len(hits), *((hits[0][0], hits[-1][0]) if hits else (None, None)))
         assert r["base_labels"] == ",".join(sorted({x for _, x in hits}))
-        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+        assert set(filter(None, r["labels"].split(","))) == set(filter(None, r["base_labels"].split(","))) | brute_licenses(t or "")
+        assert r["score"] == max([1.0 * bool(hits), *(x for x in brute_weights(t or ""))])
 
 
 def test_license_rules_and_suppression(spark):
@@ -107,9 +159,17 @@ def spelled(parsed, long):
     return out
 
 
+def brute_detections(t):
+    found = sorted((m.start(), -m.end(), -r["prio"], r["rank"], r["label"], r["weight"]) for r in license_scan.rules() for m in re.finditer(r["re"], t, re.ASCII))
+    return [x for k, x in enumerate(found) if not any(o[1] <= x[1] and o[2] <= x[2] for o in found[:k])]
+
+
 def brute_licenses(t):
-    found = sorted((m.start(), -m.end(), -r["prio"], r["rank"], r["label"]) for r in license_scan.rules() for m in re.finditer(r["re"], t, re.ASCII))
-    return {x[4] for k, x in enumerate(found) if not any(o[1] <= x[1] and o[2] <= x[2] for o in found[:k])}
+    return {x[4] for x in brute_detections(t)}
+
+
+def brute_weights(t):
+    return {x[5] for x in brute_detections(t)}
 
 
 def test_license_gate_admits_every_rule(spark):
@@ -176,6 +236,49 @@ def test_quality(docs, texts, spark, sf):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def spark_hash(*values):
+    seed = 42
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_quality_verdicts(docs, texts, spark, sf):
+    """Counts, ratios, scores and the threshold anew, in Python."""
+    labels = [tuple(r) for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", "toxic").collect()] + [(None, 1, 0), (900007, 1, 0), (900007, 0, 0), (5, None, 0)]
+    long = lambda x: x.to_bytes(8, "little", signed=True)
+    good = {}
+    for i, q, t in labels:
+        if i is not None and q is not None:
+            good[i] = min(good.get(i, 1), int(q == 1 and not t))
+    fit = {i for i in good if spark_hash((1).to_bytes(4, "little"), long(i)) % 2 == 0}
+    grams = {}
+    for _, t in texts:
+        hs = [spark_hash(w) for w in re.findall(SPACED, t or "")]
+        grams[t] = [g % quality.BUCKETS for g in hs + [spark_hash(long(a), None if b is None else long(b)) for a, b in zip(hs, [*hs[1:], None])]]
+    corpus, trusted = Counter(), Counter()
+    for i, t in texts:
+        corpus.update(grams[t])
+        trusted.update(grams[t] if i in fit and good[i] else [])
+    n, m, size = sum(corpus.values()), sum(trusted.values()), quality.BUCKETS
+    ratio = lambda b: round(1e9 * (np.log(trusted[b] + 1.0) - np.log(m + size) - np.log(corpus[b] + 1.0) + np.log(n + size)))
+    score = {t: sum(map(ratio, g)) / 1e9 / len(g) if g else None for t, g in grams.items()}
+    rows = quality.op3(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    failed = {r["doc_id"]: r["base_failed"] for r in rows}
+    held = lambda q: [score[t] for i, t in texts if i in good and i not in fit and good[i] == q and not failed[i] and score[t] is not None]
+    yes, no = held(1), held(0)
+    least = np.mean(yes) - quality.FLOOR * np.std(yes, ddof=1)
+    if no and np.mean(no) < np.mean(yes):
+        d = np.std(no, ddof=1) if len(no) > 1 else 0.0
+        least = min(least, (np.mean(yes) * d + np.mean(no) * np.std(yes, ddof=1)) / (np.std(yes, ddof=1) + d))
+    by = dict(texts)
+    for r in rows:
+        s = score[by[r["doc_id"]]]
+        assert (s is None and r["score"] is None) or r["score"] == pytest.approx(s, abs=1e-8)
+        assert r["kept"] == (not r["base_failed"] and s >= least) or abs(s - least) < 1e-7
+
+
 def test_quality_without_labels(docs, spark):
     got = quality.op3(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert got.filter("kept = base_failed").isEmpty()
@@ -246,6 +349,17 @@ def test_warc(spark, sf, how):
         assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if own else "revisit", None if own else first[b])
 
 
+def test_warc_of_repeated_ids(spark):
+    """A page_id with two payloads, and payloads beyond the default segment."""
+    big = "0123456789abcdef" * 200_000
+    rows = [(5, "u", "a"), (5, "u", "bbb"), (7, "u", "a"), (8, "u", "bbb"), (5, "u", "a"), (9, "u", big), (10, None, big), (None, "u", "zz"), (None, "u", "zz")]
+    got = sorted((tuple(r) for r in warc.op5(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=repr)
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = [(5, 1, digest("a"), "response", None)] * 2 + [(5, 3, digest("bbb"), "response", None), (7, 1, digest("a"), "revisit", 5), (8, 3, digest("bbb"), "revisit", 5)]
+    want += [(9, len(big), digest(big), "response", None), (10, len(big), digest(big), "revisit", 9)] + [(None, 2, digest("zz"), "response", None)] * 2
+    assert got == sorted(want, key=repr)
+
+
 def test_warc_segments_must_be_whole():
     import pyarrow as pa
 
@@ -285,6 +399,65 @@ def test_mixing(docs, texts):
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.op6(docs.repartition(3)).collect()), key=repr)
 
 
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
+def test_mix_takes_what_the_plan_says(docs, monkeypatch, broadcast):
+    """Words of each id in the mixed texts, and whole copies but for one cut; ids that repeat included."""
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", broadcast)
+    many = docs.unionAll(docs.filter("doc_id % 3 = 0")).unionAll(docs.filter("doc_id % 7 = 0").withColumn("text", F.concat("text", F.lit(" more words"))))
+    want, cut = Counter(), 0
+    for r in mixing.op6(many).collect():
+        want[r["doc_id"]] += r["taken"]
+        cut += r["size"] > 0 and r["taken"] % r["size"] > 0
+    whole = {(r["doc_id"], r["text"]) for r in many.collect()}
+    mixed = mixing.mix(many).collect()
+    got = Counter()
+    for r in mixed:
+        got[r["doc_id"]] += len(re.findall(SPACED, r["text"]))
+    assert +got == +want and sum((r["doc_id"], r["text"]) not in whole for r in mixed) == cut
+
+
+def kd_tree(rows, dims, leaves):
+    """rows: (size, h, id, coordinates). The rows' leaves, in the order of their numbers."""
+    spread = [max(r[3][i] for r in rows) - min(r[3][i] for r in rows) or 1.0 for i in range(dims)]
+    open_, done, fresh = {0: (leaves, rows)}, {}, 1
+    while any(n > 1 for n, _ in open_.values()):
+        after = {k: v for k, v in open_.items() if v[0] == 1}
+        for at, (_, (n, own)) in enumerate(sorted((k, v) for k, v in open_.items() if v[0] > 1)):
+            a = (n + 1) // 2
+            width = [(max(r[3][i] for r in own) - min(r[3][i] for r in own)) / spread[i] for i in range(dims)] if own else [0]
+            wide = width.index(max(width))
+            low, high = (min(r[3][wide] for r in own), max(r[3][wide] for r in own)) if own else (0, 0)
+            cell = lambda r: min(int((r[3][wide] - low) * (sharding.CELLS / (high - low) if high > low else 0.0)), sharding.CELLS - 1)  # noqa: E731, B023
+            run, goal, sides = 0, sum(r[0] for r in own) * a // n, ([], [])
+            for r in sorted(own, key=lambda r: (cell(r), r[1], r[2], r[0])):  # noqa: B023
+                run += r[0]
+                sides[run - r[0] / 2 > goal].append(r)
+            after[fresh + 2 * at], after[fresh + 2 * at + 1] = (a, sides[0]), (n - a, sides[1])
+        fresh += 2 * sum(n > 1 for n, _ in open_.values())
+        open_ = after
+    return [open_[k][1] for k in sorted(open_)]
+
+
+@pytest.mark.parametrize(("leaves", "same"), [(8, False), (5, False), (8, True)])
+def test_sharding_is_the_tree(docs, spark, leaves, same):
+    """Cuts as in a small tree in memory; with a third of all rows in one place, too."""
+    df = docs.select("doc_id", "text", "lang", "source").dropDuplicates(["doc_id"])
+    if same:
+        df = df.withColumns({"lang": F.lit("x"), "source": F.when(F.col("doc_id") % 3 == 0, F.lit("hot")).otherwise(F.col("source")), "text": F.when(F.col("doc_id") % 3 == 0, F.lit("one text")).otherwise(F.col("text"))})
+    sized = df.select("doc_id", sharding.text_size(F.col("text")).alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), "lang", "source")
+    dims = sharding._dims(sized)
+    rows = sized.select("doc_id", "size", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "size"), 1).alias("h"), F.array(*dims.values()).alias("at")).collect()
+    # null coordinates sort before all cells
+    tree = kd_tree([(r["size"], r["h"], r["doc_id"], [x if x is not None else 0.0 for x in r["at"]]) for r in rows], len(dims), leaves)
+    want = {r[2]: k for k, own in enumerate(tree) for r in own}
+    assert {r["doc_id"]: r["shard"] for r in sharding.shards(df, leaves).collect()} == want
+
+
+def test_sharding_to_many_leaves(docs):
+    got = sharding.shards(docs, target_bytes=2_000).collect()
+    assert len({r["shard"] for r in got}) > 60 and len(got) == docs.count()
+
+
 def test_sharding(docs, texts):
     rows = sharding.op8(docs).collect()
     want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts)
@@ -330,13 +503,47 @@ def test_scans(docs, texts, operator, kinds, by_start):
         want = brute_spans(kinds, t, by_start)
         line = [f"{k}:{s}:{e}" for k, s, e in want]
         assert got[i]["base_sha256"] == hashlib.sha256(",".join(line).encode()).hexdigest()
+        if operator is secret_scan.op9:
+            every = {**SECRETS, **{k: (r[0], lambda m: True) for k, r in secret_scan.MORE.items()}}
+            assert got[i]["spans"] == ",".join(f"{k}:{s}:{e}" for k, s, e in brute_spans(every, t, True))
         assert set(line) <= set(got[i]["spans"].split(",")) | {""}
         assert all(got[i][f"n_{k}"] == sum(x[0] == k for x in want) for k in kinds)
 
 
+def brute_chances(patterns, rounds=50):
+    """EM span by span: rows of votes, and what is known of each."""
+    spans = [(p, known) for p, counts in sorted(patterns.items()) for known, n in zip((None, 1.0, 0.0), counts) for _ in range(n)]
+    right, prior = np.full(len(pii.LABELERS), 0.8), 0.5
+    votes = np.array([[int(v) for v in p] for p, _ in spans])
+    known = np.array([np.nan if k is None else k for _, k in spans])
+    for _ in range(rounds):
+        yes = np.where(votes == 1, right, np.where(votes == 0, 1 - right, 1)).prod(axis=1) * prior
+        no = np.where(votes == 0, right, np.where(votes == 1, 1 - right, 1)).prod(axis=1) * (1 - prior)
+        chance = yes / (yes + no)
+        told = np.where(np.isnan(known), chance, known)
+        prior = np.clip((chance[np.isnan(known)].sum() + 1) / (np.isnan(known).sum() + 2), 0.05, 0.95)
+        for i in range(len(right)):
+            agree = np.where(votes[:, i] == 1, told, 1 - told)[votes[:, i] != 2]
+            right[i] = np.clip((agree.sum() + 8) / (len(agree) + 10), 0.55, 0.99)
+    return {p: c for (p, _), c in zip(spans, chance)}
+
+
 def test_pii_votes_are_weighed():
-    chance = pii.reliabilities({"11121": 50, "00202": 30, "12121": 20, "02200": 20})
-    assert chance["11121"] > 0.9 > 0.5 > chance["00202"]
+    patterns = {"11121": (50, 30, 1), "00202": (30, 0, 40), "12121": (20, 9, 0), "02200": (20, 1, 25), "22222": (7, 0, 0)}
+    chance = pii.reliabilities(patterns)
+    assert chance == pytest.approx(brute_chances(patterns)) and chance["11121"] > 0.9 > 0.5 > chance["00202"]
+
+
+def test_pii_added_spans(spark):
+    """Among many documents with base spans and failed ones, plain cases are added and look-alikes aren't."""
+    plain = [f"mail a{k}@example.com or call +1 (974) 555-34{k % 90 + 10}; from 10.0.{k % 200}.1, not 300.1.{k}.2; card 4111 1111 1111 1111, order 4111 1111 1111 11{k % 90 + 10}" for k in range(120)]
+    yes = ["my ssn: 123-45-67{:02} thanks", "phone (212) 555-01{:02} today", "account DE893704004405320130{:02} please", "contact Dr. Maria Lopez soon, {}"]
+    no = ["order number 000-12-34{:02}", "invoice 123-555-01{:02}x", "part no 100-555-01{:02}/3", "sha 2014-05-{:02}/x", "build XX11 ABCD EFGH IJ{:02}", "version 12.4.{} of build 9", None, ""]
+    rows = [(k, t) for k, t in enumerate(plain)] + [(1000 * (i + 1) + k, t and t.format(k)) for i, t in enumerate(yes + no) for k in range(10, 30)]
+    got = by_id(pii.op7(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, kind in enumerate(["ssn", "national", "iban", "person"]):
+        assert all([x.split(":")[0] for x in got[1000 * (i + 1) + k]["spans"].split(",")] == [kind] for k in range(10, 30)), kind
+    assert all(got[i]["spans"] == "" and got[i]["n_spans"] == 0 for i in got if i >= 5000) and all(got[k]["n_spans"] == sum(got[k][f"n_{x}"] for x in pii.BASE) for k in range(120))
 
 
 def test_secret_ledger_is_incremental(spark, tmp_path):
@@ -347,11 +554,17 @@ def test_secret_ledger_is_incremental(spark, tmp_path):
     got = {r["path"]: r["spans"] for r in secret_scan.scan(again, "path", path).collect()}
     assert got == {"a": "assign:0:12", "c": "assign:0:12", "d": "assign:0:48,github:8:48"}
     assert spark.read.parquet(path).count() == 3
+    spark.read.parquet(path).write.mode("append").parquet(path)  # as two scans at once leave it
+    assert {r["path"]: r["spans"] for r in secret_scan.scan(again, "path", path).collect()} == got and secret_scan.scan(again, "path", path).count() == 3
 
 
-def test_decontamination(spark, sf, docs, texts):
+def test_decontamination(spark, sf, docs, texts, monkeypatch):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    items = [(r["item_id"], r["text"]) for r in bench.collect()] + [(9001, "same words AGAIN"), (9002, "naïve"), (9003, ""), (9004, None), (9005, "É é ça É é")]
+    items = [(r["item_id"], r["text"]) for r in bench.collect()]
+    buried = [(950001, "quite other words " * 700 + items[0][1] + " and more " * 300), (950002, items[1][1] + " tail"), (950002, items[1][1] + " tail")]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "z", 0) for i, t in buried], "doc_id long, text string, lang string, source string, n_chars long").withColumns({"n_words": F.lit(-1), "score": F.lit("x"), "f": F.lit(0), "__t": F.lit(1), "size": F.lit(2)}))
+    texts = texts + buried
+    items += [(9001, "same words AGAIN"), (9002, "naïve"), (9003, ""), (9004, None), (9005, "É é ça É é")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = {}
     for i, t in items:
@@ -369,12 +582,15 @@ def test_decontamination(spark, sf, docs, texts):
                     hit |= set(range(k, k + n))
                     found |= windows[ws[k : k + n]]
         dirty = bool(hit) and 20 * len(hit) >= len(ws)
-        bad |= {i} if dirty else set()
+        bad |= {i} if dirty or any(ws[k : k + 13] in windows for k in range(len(ws) - 12)) else set()
         r = got[i]
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(ws), len(hit), len(found), dirty)
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+    assert 950001 in bad and not got[950001]["contaminated"] and decontaminate.op10(docs, bench).count() == len(texts)
     clean = decontaminate.clean(docs, bench)
-    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {i for i, _ in texts} - bad
+    assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == sorted(i for i, _ in texts if i not in bad)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    assert by_id(decontaminate.op10(docs, bench)) == got
 
 
 def test_decontamination_of_capital_sigma(spark):
