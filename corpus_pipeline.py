@@ -48,9 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = shared.stage(docs, name.replace(" ", "-"))
-    return docs
+    """The last stage's rows. What a stage wrote on its way is deleted when its result is written, that result when the next one is."""
+    docs, last = _table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        with shared.scope(spark) as paths:
+            docs = shared.stage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept = paths.pop()
+            if last:
+                paths.append(last)
+            last = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
