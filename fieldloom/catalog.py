@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import datetime
+import io
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ops
+from .functions import scalar
+from .operators.aggregate import register_aggregate
+from .operators.output import aligned
+from .operators.util import shared_folder
 from .plans import Pipeline
-from .sources import MemoryStore
+from .sources import DataPackage, DocumentStore, FileSystemStore, MemoryStore, read_csv, write_csv
+from .sources import copy_object as stores_copy
 
 #: name: (query of a function that gives tables, SQL)
 QUERIES: dict[str, tuple[Callable, str]] = {}
@@ -425,6 +432,131 @@ def windowed_aggregate(t):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
+@query("SELECT event_id, CAST(ts AS DATE) AS day FROM events")
+def retype_date(t):
+    return ops.retype(t("events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day")), {"day": "date"})
+
+
+@query("SELECT event_id, strftime(ts, '%H:%M') AS at FROM events")
+def retype_time(t):
+    return ops.retype(t("events").select("event_id", F.date_format("ts", "HH:mm").alias("at")), {"at": "time"})
+
+
+@query("SELECT event_id, date_trunc('second', ts) AS at FROM events")
+def retype_datetime(t):
+    df = ops.retype(t("events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at")), {"at": "datetime"})
+    return df.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("SELECT * FROM customer")
+def sample_random_parts(t):
+    return ops.append([ops.sample(t("customer"), 0.3, mode="random", seed=7), ops.sample(t("customer"), 0.3, discard=True, mode="random", seed=7)])
+
+
+@query("SELECT n_nationkey, n_name, 'old' AS state, DATE '2000-01-01' AS valid_from, DATE '2001-01-01' AS valid_to FROM nation UNION ALL SELECT n_nationkey, n_name, 'new', DATE '2024-01-01', NULL FROM nation")
+def scd2_reopened(t):
+    dim = t("nation").select("n_nationkey", "n_name", F.lit("old").alias("state"), F.lit(datetime.date(2000, 1, 1)).alias("valid_from"), F.lit(datetime.date(2001, 1, 1)).alias("valid_to"))
+    return ops.load_versioned_dimension(dim, t("nation").select("n_nationkey", "n_name", F.lit("new").alias("state")), "n_nationkey", ["n_name", "state"], at=datetime.date(2024, 1, 1))
+
+
+@query("SELECT l_returnflag, max(l_quantity) - min(l_quantity) AS l_quantity_range, count(*) AS record_count FROM lineitem GROUP BY 1")
+def aggregate_registered(t):
+    register_aggregate("range", lambda c: F.max(c) - F.min(c))
+    return ops.aggregate(t("lineitem"), "l_returnflag", [("l_quantity", "range")])
+
+
+@query("SELECT * FROM orders WHERE o_totalprice >= 1000 AND o_custkey % 8 <> 3 AND NOT (o_orderstatus = 'F') AND (o_orderkey << 1) > 200")
+def filter_predicate_signs(t):
+    return ops.filter_by_predicate(t("orders"), "o_totalprice ≥ 1000 AND o_custkey % 8 ≠ 3 AND ¬ (o_orderstatus == 'F') AND o_orderkey << 1 > 200")
+
+
+def _csv(t, name: str, fields=None) -> DataFrame:
+    df = t(name)
+    path = shared_folder(df.sparkSession, name)
+    write_csv(df, path)
+    return read_csv(df.sparkSession, path, fields=fields)
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
+def csv_round_trip(t):
+    fields = [("c_custkey", "integer"), ("c_name", "string"), ("c_nationkey", "integer"), ("c_acctbal", "number"), ("c_mktsegment", "string")]
+    df = ops.drop_fields(_csv(t, "customer", fields), ["c_mktsegment"])
+    return df.select(*[F.col(c).cast(t("customer").schema[c].dataType).alias(c) for c in df.columns])
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
+def csv_dates(t):
+    df = t("orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return _csv(lambda _: df, "orders", [("o_orderkey", "integer"), ("day", "date")]).select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "day")
+
+
+@query("SELECT 'p_partkey' AS field, 'integer' AS type UNION ALL SELECT 'p_name', 'string' UNION ALL SELECT 'p_brand', 'string' UNION ALL SELECT 'p_type', 'string' UNION ALL SELECT 'p_size', 'integer' UNION ALL SELECT 'p_retailprice', 'float'")
+def infer_types_csv(t):
+    return ops.infer_types(_csv(t, "part"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def data_package(t):
+    spark, nation = t("nation").sparkSession, t("nation")
+    path = shared_folder(spark, "package")
+    write_csv(nation, f"{path}/nation.csv")
+    fields = [{"name": "n_nationkey", "type": "integer"}, {"name": "n_name", "type": "string"}, {"name": "n_regionkey", "type": "integer"}]
+    info = json.dumps({"name": "geo", "resources": [{"name": "nation", "path": "nation.csv", "schema": {"fields": fields}}]})
+    spark.createDataFrame([(info,)], "value string").coalesce(1).write.text(f"{path}/datapackage.json")
+    return aligned(DataPackage(spark, path).get_object("nation"), nation.schema)
+
+
+@query("SELECT * FROM region UNION ALL SELECT * FROM region")
+def copy_object(t):
+    spark = t("region").sparkSession
+    source, target = MemoryStore(spark, {"region": t("region")}), FileSystemStore(spark, shared_folder(spark, "store"))
+    stores_copy(source, "region", target, "there", create=True)
+    return stores_copy(source, "region", target, "there")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def document_store(t):
+    spark, nested = t("supplier").sparkSession, t("supplier").select(F.col("s_suppkey").alias("s.key"), F.col("s_name").alias("s.name.first"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("s.acctbal"))
+    store = DocumentStore(spark, shared_folder(spark, "documents"))
+    df = store.create("supplier", nested)
+    return aligned(df.select(F.col("`s.key`").alias("s_suppkey"), F.col("`s.name.first`").alias("s_name"), F.col("nation").alias("s_nationkey"), F.col("`s.acctbal`").alias("s_acctbal")), t("supplier").schema)
+
+
+@query("SELECT p_partkey, 'integer' AS size_type, 'float' AS price_type, 'string' AS name_type, CAST(NULL AS VARCHAR) AS no_type FROM part")
+def guess_type(t):
+    kinds = {"size_type": F.col("p_size").cast("string"), "price_type": F.col("p_retailprice").cast("string"), "name_type": F.col("p_name"), "no_type": F.lit(None).cast("string")}
+    return t("part").select("p_partkey", *[scalar.guess_type(c).alias(k) for k, c in kinds.items()])
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def expand_collapse_record(t):
+    flat = t("orders").select(F.col("o_orderkey").alias("order.key"), F.col("o_custkey").alias("order.customer.key"), F.col("o_totalprice").alias("price"))
+    back = scalar.collapse_record(scalar.expand_record(flat))
+    return back.select(F.col("`order.key`").alias("o_orderkey"), F.col("`order.customer.key`").alias("o_custkey"), F.col("price").alias("o_totalprice"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def as_dict(t):
+    found = ops.as_dict(t("nation"), "n_nationkey", "n_name")
+    return t("nation").sparkSession.createDataFrame(list(found.items()), "n_nationkey int, n_name string")
+
+
+@query("SELECT * FROM region")
+def as_records(t):
+    return t("region").sparkSession.createDataFrame([tuple(r.values()) for r in ops.as_records(t("region"))], t("region").schema)
+
+
+@query("SELECT * FROM region")
+def fetch_all(t):
+    return t("region").sparkSession.createDataFrame(ops.fetch_all(t("region")), t("region").schema)
+
+
+@query("SELECT r_regionkey, r_name, 7 AS n_lines FROM region")
+def pretty_print(t):
+    out = io.StringIO()
+    return ops.pretty_print(ops.sort(t("region"), "r_regionkey"), out).withColumn("n_lines", F.lit(out.getvalue().count("\n") - 2))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: fn(tables(spark, sf_dir))

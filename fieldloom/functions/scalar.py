@@ -45,6 +45,12 @@ def spark_pattern(strptime: str) -> str:
     return out.replace("''''", "''") if "'" in strptime else re.sub(r"(?<=\w)''(?=\w)", "", out)
 
 
+def parsed_time(c: Column, strptime: str) -> Column:
+    """A text as a timestamp, or null. Years of two digits from 69 on are of the last century."""
+    found = F.try_to_timestamp(c, F.lit(spark_pattern(strptime)))
+    return F.when(F.year(found) >= 2069, F.add_months(found, -1200) + (found - F.date_trunc("day", found))).otherwise(found) if "%y" in strptime else found
+
+
 def java_regex(pattern: str, replacement: str = "") -> tuple[str, str]:
     """A Python pattern and replacement as Java writes them."""
     pattern = re.sub(r"\(\?P<([A-Za-z]\w*)>", r"(?<\1>", pattern)
@@ -56,7 +62,7 @@ def java_regex(pattern: str, replacement: str = "") -> tuple[str, str]:
 
 def guess_type(c: Column, date_format: str | None = None) -> Column:
     """integer, float, date or string; null of null."""
-    date = F.try_to_timestamp(c, F.lit(spark_pattern(date_format))).isNotNull() if date_format else F.lit(False)
+    date = parsed_time(c, date_format).isNotNull() if date_format else F.lit(False)
     return F.when(c.isNull(), F.lit(None)).when(c.rlike(r"^\s*[+-]?[0-9]+\s*$"), "integer").when(c.try_cast("double").isNotNull(), "float").when(date, "date").otherwise("string")
 
 

@@ -24,4 +24,11 @@ def aggregate(df: DataFrame, key=None, measures=None, include_count: bool = True
     made = [tagged(FUNCTIONS[a](col(m)), f"{m}_{a}", analytical_type="measure") for m, a in pairs]
     if include_count or not made:
         made.append(tagged(F.count(F.lit(1)), count_field, analytical_type="measure"))
+    if clash := {count_field} & set(names) if include_count or not pairs else {}:
+        raise ArgumentError(f"{clash} is a key; give the count another name")
     return df.groupBy(*map(col, names)).agg(*made)
+
+
+def register_aggregate(name: str, function) -> None:
+    """Make ``function`` (a column to an aggregate) known to ``aggregate`` and to windowed aggregation."""
+    FUNCTIONS[name] = function

@@ -10,7 +10,7 @@ from ..errors import ArgumentError
 from ..functions.scalar import spark_pattern
 from ..metadata import prepare_key
 from ..registry import operation
-from .util import col, present
+from .util import col, comparable, fresh, present
 
 
 @operation
@@ -19,13 +19,16 @@ def count_duplicates(df: DataFrame, keys=None, threshold: int = 1, record_count_
     if threshold < 1:
         raise ArgumentError(f"threshold {threshold} is below 1")
     names = present(df, prepare_key(keys)) or df.columns
+    if record_count_label in names:
+        raise ArgumentError(f"{record_count_label!r} is a field; give the count another label")
     return df.groupBy(*map(col, names)).agg(F.count(F.lit(1)).alias(record_count_label)).filter(col(record_count_label) > threshold)
 
 
 @operation
 def duplicate_stats(df: DataFrame, fields=None, threshold: int = 1) -> DataFrame:
     """How many groups of duplicates there are of each size."""
-    return count_duplicates(df, fields, threshold, "record_count").groupBy("record_count").agg(F.count(F.lit(1)).alias("group_count"))
+    label = fresh("__count", df.columns)
+    return count_duplicates(df, fields, threshold, label).groupBy(col(label).alias("record_count")).agg(F.count(F.lit(1)).alias("group_count"))
 
 
 @operation
@@ -38,7 +41,7 @@ def nonempty_count(df: DataFrame, fields=None) -> DataFrame:
 def distinct_count(df: DataFrame, fields=None, approximate: bool = False) -> DataFrame:
     """One row: how many distinct values each field has, nulls left out. Approximate counts take one pass and no shuffle of values."""
     count = F.approx_count_distinct if approximate else F.countDistinct
-    return df.agg(*[count(col(n)).alias(n) for n in present(df, prepare_key(fields)) or df.columns])
+    return df.agg(*[count(comparable(df, n)).alias(n) for n in present(df, prepare_key(fields)) or df.columns])
 
 
 def _stacked(row: DataFrame, made: dict[str, Column]) -> DataFrame:
@@ -54,14 +57,14 @@ def basic_audit(df: DataFrame, distinct_threshold: int = 100) -> DataFrame:
     takes to know whether there may be few; exact sets are kept for no more than twice the
     threshold of them, so memory doesn't grow with the table.
     """
-    rough = df.agg(*[F.approx_count_distinct(col(f.name), 0.05).alias(f"r{i}") for i, f in enumerate(df.schema.fields)]).first()
+    rough = df.agg(*[F.approx_count_distinct(comparable(df, f.name), 0.05).alias(f"r{i}") for i, f in enumerate(df.schema.fields)]).first()
     aggregates = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(df.schema.fields):
         c, text = col(f.name), isinstance(f.dataType, T.StringType)
         few = rough[f"r{i}"] <= 2 * distinct_threshold
         aggregates += [
             F.count(c).alias(f"v{i}"), (F.count_if(c == "") if text else F.lit(0).cast("long")).alias(f"e{i}"), (F.min(F.length(c)) if text else F.lit(None).cast("int")).alias(f"a{i}"),
-            (F.max(F.length(c)) if text else F.lit(None).cast("int")).alias(f"b{i}"), (F.size(F.collect_set(c)) if few else F.lit(2 * distinct_threshold)).cast("long").alias(f"d{i}"),
+            (F.max(F.length(c)) if text else F.lit(None).cast("int")).alias(f"b{i}"), (F.size(F.collect_set(comparable(df, f.name))) if few else F.lit(2 * distinct_threshold)).cast("long").alias(f"d{i}"),
         ]
     row, n = df.agg(*aggregates), F.col("n")
 
@@ -82,7 +85,7 @@ def infer_types(df: DataFrame, date_format: str | None = None) -> DataFrame:
     """A row for each field: the type that all its values have. Text beats float, float beats integer, dates stand apart; nulls alone are text."""
     kinds, aggregates = ("integer", "float", "date"), []
     for i, f in enumerate(df.schema.fields):
-        c = col(f.name).cast("string")
+        c = comparable(df, f.name).cast("string")
         date = F.try_to_timestamp(c, F.lit(spark_pattern(date_format))).isNotNull() if date_format else F.lit(False)
         integer = c.rlike(r"^\s*[+-]?[0-9]+\s*$")
         floating = ~integer & c.try_cast("double").isNotNull()

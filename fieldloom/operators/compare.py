@@ -61,8 +61,8 @@ def load_versioned_dimension(dim: DataFrame, source: DataFrame, dim_key, fields,
     """The dimension after a type 2 load: a row that changed is closed and a new version is opened, new keys are added.
 
     ``version_fields`` hold from when to when a row is valid; null in the second marks the open
-    version, and nulls count as values when rows are compared. ``at`` is the time of the load. The
-    source has one row for each key.
+    version, and nulls count as values when rows are compared. ``at`` is the time of the load. A
+    key whose versions are all closed is opened again. The source has one row for each key.
     """
     begin, end = present(dim, list(version_fields))
     right, left = _keys(dim, source, dim_key, source_key)
@@ -75,7 +75,7 @@ def load_versioned_dimension(dim: DataFrame, source: DataFrame, dim_key, fields,
     other = other.withColumn(mark, F.lit(True))
     joined = dim.join(other, reduce(lambda a, b: a & b, [col(a) == col(b) for a, b in zip(right, found, strict=True)]) & col(end).isNull(), "left")
     closed = joined.withColumn(end, F.when(col(mark), stamp).otherwise(col(end))).select(*map(col, dim.columns))
-    fresh_rows = changed.unionByName(added_rows(source, dim, left, right))
+    fresh_rows = changed.unionByName(added_rows(source, dim.filter(col(end).isNull()), left, right))
     place = dict(zip(right, left, strict=True))
     value = lambda c: F.lit(None) if c == end or place.get(c, c) not in source.columns else col(place.get(c, c))
     opened = fresh_rows.select(*[(stamp if c == begin else value(c)).cast(dim.schema[c].dataType).alias(c) for c in dim.columns])

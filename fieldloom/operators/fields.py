@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ArgumentError, FieldError
-from ..functions.scalar import java_regex, spark_pattern
+from ..functions.scalar import java_regex, parsed_time
 from ..metadata import prepare_key
 from ..registry import operation
 from .util import col, present, tagged
@@ -57,8 +57,7 @@ def dates_to_dimension(df: DataFrame, fields=None, unknown_date: int = 0) -> Dat
 @operation
 def string_to_date(df: DataFrame, fields, fmt: str = "%Y-%m-%dT%H:%M:%S.Z", as_datetime: bool = False) -> DataFrame:
     """Dates of texts in a strptime format; null where a text is none."""
-    pattern = F.lit(spark_pattern(fmt))
-    made = {n: F.try_to_timestamp(col(n), pattern) for n in present(df, prepare_key(fields))}
+    made = {n: parsed_time(col(n), fmt) for n in present(df, prepare_key(fields))}
     return replaced(df, {n: (c if as_datetime else c.cast("date")).alias(n) for n, c in made.items()})
 
 

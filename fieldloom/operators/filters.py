@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,8 @@ from ..metadata import prepare_key
 from ..registry import operation
 from .util import col, present
 
+log = logging.getLogger("fieldloom")
+
 #: Above so many values a set is joined instead of listed in the plan.
 LISTED = 1000
 
@@ -96,13 +100,6 @@ def _called(df: DataFrame, predicate: Callable, names: list[str], kwargs: dict)
     try:
         if isinstance(found := predicate(*[col(n) for n in names], **kwargs), Column):
             return found
-    except Exception as e:  # a callable for values may fail on columns in any way
-        del e
-    import pandas as pd
-
-    def accept(rows):
-        values = [rows[c].astype(object).where(rows[c].notna(), None) for c in rows.columns]
-        return pd.Series([bool(predicate(*row, **kwargs)) for row in zip(*values, strict=True)], dtype=object)
-
-    accept.__annotations__ = {"rows": pd.DataFrame, "return": pd.Series}
-    return F.pandas_udf(accept, T.BooleanType())(F.struct(*[col(n) for n in names]))
+    except (TypeError, ValueError, AttributeError, PySparkException) as e:  # what columns raise where values are meant
+        log.debug("%r takes no columns: %s", predicate, e)
+    return F.udf(lambda *row: bool(predicate(*row, **kwargs)), T.BooleanType(), useArrow=True)(*[col(n) for n in names])

@@ -24,11 +24,11 @@ def _cast(c: Column, kind: T.DataType, target: str, soft: bool) -> Column:
     if target == "boolean":
         return scalar.to_bool(c, kind)
     if target == "date" and is_text:
-        return (F.try_to_timestamp(c, F.lit("yyyy-MM-dd")) if soft else F.to_timestamp(c, F.lit("yyyy-MM-dd"))).cast("date")
+        return (F.try_to_timestamp(c, F.lit("yyyy-MM-dd")) if soft else F.to_timestamp(c, "yyyy-MM-dd")).cast("date")
     if target == "datetime" and is_text:
         return F.try_to_timestamp(c) if soft else F.to_timestamp(c)
     if target == "time":
-        return F.date_format(F.try_to_timestamp(c, F.lit("HH:mm")) if soft else F.to_timestamp(c, F.lit("HH:mm")), "HH:mm") if is_text else F.date_format(c, "HH:mm")
+        return F.date_format(F.try_to_timestamp(c, F.lit("HH:mm")) if soft else F.to_timestamp(c, "HH:mm"), "HH:mm") if is_text else F.date_format(c, "HH:mm")
     if target == "binary" and is_text:
         return F.try_to_binary(c, F.lit("base64")) if soft else F.unbase64(c)
     if target in ("object", "geopoint", "array") and is_text:

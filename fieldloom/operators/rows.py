@@ -91,18 +91,24 @@ def with_position(df: DataFrame, order_by, name: str) -> DataFrame:
 
 @operation
 def sample(df: DataFrame, value, discard: bool = False, mode: str = "first", order_by=None, seed: int | None = None) -> DataFrame:
-    """``first``: n rows. ``nth``: rows 0, n, 2n... ``random``: that share of rows. With discard the others."""
+    """``first``: n rows. ``nth``: rows 0, n, 2n... ``random``: that share of rows. With discard the others.
+
+    Random rows are drawn by one number a row, so with one seed, and rows read in the same way, a
+    sample and its discard make up the table.
+    """
     if mode == "random":
         if not 0 <= value <= 1:
             raise ArgumentError(f"share {value} isn't between 0 and 1")
-        if not discard:
-            return df.sample(fraction=float(value), seed=seed)
-        return df.randomSplit([float(value), 1.0 - float(value)], seed=42 if seed is None else seed)[1] if 0 < value < 1 else df.limit(0) if value else df
+        drawn = fresh("__drawn", df.columns)
+        found = df.withColumn(drawn, F.rand(42 if seed is None else seed))
+        return found.filter(col(drawn) >= float(value) if discard else col(drawn) < float(value)).drop(drawn)
     if not isinstance(value, int) or value < 0:
         raise ArgumentError(f"sample of {value!r} rows")
     if mode == "first":
-        found = df.orderBy(*natural(df, order_by)) if order_by is not None else df
-        return found.offset(value) if discard else found.limit(value)
+        if not discard:
+            return (df.orderBy(*natural(df, order_by)) if order_by is not None else df).limit(value)
+        at = fresh("__at", df.columns)
+        return with_position(df, order_by, at).filter(col(at) >= value).drop(at)
     if mode != "nth":
         raise ArgumentError(f"mode {mode!r} is none of first, nth, random")
     if value < 1:

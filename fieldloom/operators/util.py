@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..errors import NoSuchFieldError
+from ..errors import ArgumentError, NoSuchFieldError
 from ..metadata import META, prepare_key, prepare_order_list
 
 
@@ -48,11 +51,30 @@ def fresh(name: str, *taken: Iterable[str]) -> str:
     return name
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that executors share; in a temporary one only where all run in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ArgumentError("spark.checkpoint.dir names no folder that the executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder, for results that must not be computed twice."""
-    import tempfile
+    """The rows written once, as Parquet, to the shared folder, for results that must not be computed twice."""
+    path = shared_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def comparable(df: DataFrame, name: str) -> Column:
+    """The column, or its JSON where it has a kind of values that can't be compared."""
+
+    def plain(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return all(plain(f.dataType) for f in kind.fields)
+        return plain(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType | T.VariantType)
 
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fieldloom-"))
-    return df.checkpoint()
+    return col(name) if plain(df.schema[name].dataType) else F.to_json(col(name))

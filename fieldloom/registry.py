@@ -14,6 +14,7 @@ class Registry:
 
     def __init__(self) -> None:
         self._found: dict[str, tuple[Callable, int]] = {}
+        self._others: dict[str, list[tuple[Callable, Callable]]] = {}
         self.observers: list[Callable[[str, tuple, dict], None]] = []
 
     def operation(self, operands: int | Callable = 1) -> Callable:
@@ -27,6 +28,16 @@ class Registry:
 
         return add
 
+    def implementation(self, name: str, when: Callable[..., bool]) -> Callable:
+        """Register another function for an operation, taken for operands that ``when`` accepts; of several the last one counts."""
+
+        def add(fn: Callable) -> Callable:
+            self._get(name)
+            self._others.setdefault(name, []).append((when, fn))
+            return fn
+
+        return add
+
     def names(self) -> list[str]:
         self._load()
         return sorted(self._found)
@@ -40,7 +51,11 @@ class Registry:
     def call(self, name: str, *args, **kwargs):
         for see in self.observers:
             see(name, args, kwargs)
-        return self._get(name)[0](*args, **kwargs)
+        found, operands = self._get(name)
+        for when, fn in reversed(self._others.get(name, ())):
+            if when(*args[: operands or 1]):
+                return fn(*args, **kwargs)
+        return found(*args, **kwargs)
 
     def _load(self) -> None:
         from . import operators  # noqa: F401

@@ -21,11 +21,9 @@ def read_csv(spark: SparkSession, path: str, fields=None, read_header: bool = Tr
     """
     if fields is None and not read_header:
         raise ArgumentError("neither fields nor a header")
-    if encoding.upper().replace("_", "-") not in ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     made = {"sep": delimiter, "encoding": encoding, "header": read_header} | options
     given = FieldList(*fields) if fields is not None else None
-    if skip_rows:
+    if skip_rows or not _known(encoding):
         df = _skipped(spark, path, skip_rows, encoding, made, given)
     else:
         reader = spark.read.options(**{k: str(v) for k, v in made.items()})
@@ -42,11 +40,24 @@ def read_csv(spark: SparkSession, path: str, fields=None, read_header: bool = Tr
     return typed.select(*[F.col(f"`{c}`").alias(c, metadata=by_name[c].metadata) for c in typed.columns])
 
 
+def _known(encoding: str) -> bool:
+    """Whether Spark reads the encoding itself."""
+    return encoding.upper().replace("_", "-") in ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32")
+
+
+#: A record: what stands between line ends that are in no quotes.
+RECORD = r'(?:[^"\r\n]++|"[^"]*+"?+)++'
+
+
 def _skipped(spark: SparkSession, path: str, skip: int, encoding: str, made: dict, given: FieldList | None) -> DataFrame:
-    """Each file whole, as its head has to be told from its body; meant for files that people wrote."""
-    text = spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("t"))
-    lines = F.slice(F.split("t", r"\r?\n"), F.lit(skip + 1), F.greatest(F.size(F.split("t", r"\r?\n")) - skip, F.lit(0)))
-    body = text.select(F.posexplode(lines).alias("at", "value")).filter("value <> ''")
+    """Each file whole, as its head has to be told from its body and its text from its bytes; meant for files that people wrote.
+
+    ``skip`` counts lines; what follows is cut into records, which may hold line ends in quotes.
+    """
+    decoded = F.decode("content", encoding) if _known(encoding) else F.udf(lambda b: bytes(b).decode(encoding), "string", useArrow=True)("content")
+    text = spark.read.format("binaryFile").load(path).select(decoded.alias("t"))
+    rest = F.regexp_replace("t", rf"^\x{{FEFF}}?+(?:[^\n]*+(?:\n|\z)){{0,{skip}}}", "") if skip else F.regexp_replace("t", r"^\x{FEFF}", "")
+    body = text.select(F.posexplode(F.regexp_extract_all(rest, F.lit(RECORD), F.lit(0))).alias("at", "value")).filter("trim(value) <> ''")
     if made["header"]:
         head = body.filter("at = 0").select("value").first()
         body = body.filter("at > 0")
@@ -54,7 +65,7 @@ def _skipped(spark: SparkSession, path: str, skip: int, encoding: str, made: dic
     else:
         names = given.names()
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return body.select(F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", "), {"sep": made["sep"]}).alias("r")).select("r.*")
+    return body.select(F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", "), {"sep": made["sep"], "multiLine": "true"} | {k: str(v) for k, v in made.items() if k not in ("sep", "encoding", "header")}).alias("r")).select("r.*")
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, truncate: bool = True, encoding: str = "UTF-8", single: bool = False, **options) -> None:

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import ArgumentError, NoSuchObjectError, OperationError
+from ..functions.scalar import collapse_record, expand_record
 from ..metadata import FieldList
 from ..operators.output import aligned
 from .csvfile import read_csv, read_fields, write_csv
@@ -193,13 +194,36 @@ class CSVStore(FileSystemStore):
         super()._write(name, df, mode)
 
 
+class DocumentStore(FileSystemStore):
+    """Collections of JSON documents: nested fields are read as dotted names, and written nested again."""
+
+    SUFFIXES = ("json",)
+
+    def __init__(self, spark: SparkSession, path: str, expand: bool = True, **options):
+        super().__init__(spark, path, "json", **options)
+        self.expand = expand
+
+    def get_object(self, name: str, **options) -> DataFrame:
+        df = super().get_object(name, **options)
+        return collapse_record(df) if self.expand else df
+
+    def _write(self, name: str, df: DataFrame, mode: str) -> None:
+        super()._write(name, expand_record(df) if self.expand else df, mode)
+
+
+def _xlsx(spark: SparkSession, path: str, **options):
+    from .xlsx import XLSXStore
+
+    return XLSXStore(spark, path, **options)
+
+
 def _package(spark: SparkSession, path: str):
     from .datapackage import DataPackage
 
     return DataPackage(spark, path)
 
 
-STORES = {"memory": MemoryStore, "simple_memory": MemoryStore, "sql": CatalogStore, "catalog": CatalogStore, "jdbc": JDBCStore, "csv": CSVStore, "file_system": FileSystemStore, "datapackage": _package}
+STORES = {"memory": MemoryStore, "simple_memory": MemoryStore, "sql": CatalogStore, "catalog": CatalogStore, "jdbc": JDBCStore, "csv": CSVStore, "file_system": FileSystemStore, "datapackage": _package, "documents": DocumentStore, "mongo": DocumentStore, "xlsx": _xlsx}
 
 
 def open_store(spark: SparkSession, kind: str, *args, **kwargs):

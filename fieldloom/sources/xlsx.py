@@ -7,6 +7,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from ..errors import ArgumentError
+from ..errors import ArgumentError, NoSuchObjectError
 from ..metadata import FieldList
 
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -136,25 +137,62 @@ class XLSXSource(DataSource):
     def schema(self) -> T.StructType:
         sheet, header, skip = self._how()
         names, body = _layout(list(sheet_rows(self._data(), sheet)), header, skip)
-        first = body[0] if body else [None] * len(names)
-        return T.StructType([T.StructField(n, _kind(v)) for n, v in zip(names, first, strict=True)])
+        kinds = [{type(_kind(r[i])): _kind(r[i]) for r in body if r[i] is not None} for i in range(len(names))]
+        return T.StructType([T.StructField(n, next(iter(k.values())) if len(k) == 1 else T.StringType()) for n, k in zip(names, kinds, strict=True)])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return XLSXReader(schema, self._data(), *self._how())
 
 
+def _joined(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Both sheets; fields whose types differ are texts."""
+    for n in set(a.columns) & set(b.columns):
+        if a.schema[n].dataType != b.schema[n].dataType:
+            a, b = (x.withColumn(n, F.col(f"`{n}`").cast("string")) for x in (a, b))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+class XLSXStore:
+    """A file whose sheets are the objects, by name or number. Read-only."""
+
+    def __init__(self, spark: SparkSession, path: str, **options):
+        self.spark, self.path, self.options = spark, path, options
+
+    def object_names(self) -> list[str]:
+        return sheet_names(bytes(self.spark.read.format("binaryFile").load(self.path).select("content").first()["content"]))
+
+    def exists(self, name: str) -> bool:
+        return name in self.object_names()
+
+    def get_object(self, name: str | int = 0, **options) -> DataFrame:
+        names = self.object_names()
+        if (name not in names) if isinstance(name, str) else not 0 <= name < len(names):
+            raise NoSuchObjectError(f"no sheet {name!r} in {names}")
+        return read_xlsx(self.spark, self.path, sheet=name, **(self.options | options))
+
+
 def read_xlsx(spark: SparkSession, path: str, sheet: str | int = 0, read_header: bool = True, skip_rows: int = 0, fields=None) -> DataFrame:
-    """One sheet; types are those of the first row of data. Spark reads the file, so any of its file systems will do."""
+    """One sheet of a file, or of every file of a folder, by field name. A field has the type that all its values have, or text.
+
+    Spark reads the files, so any of its file systems will do; they pass through the driver, which is meant for
+    sheets that people wrote.
+    """
     import base64
 
-    rows = spark.read.format("binaryFile").load(path).select("content").collect()
     spark.dataSource.register(XLSXSource)
     how = {"sheet_index": str(sheet)} if isinstance(sheet, int) else {"sheet": sheet}
-    reader = spark.read.format("fieldloom_xlsx").options(data=base64.b64encode(bytes(rows[0]["content"])).decode(), header=str(read_header), skip_rows=str(skip_rows), **how)
+
+    def one(content: bytes) -> DataFrame:
+        return spark.read.format("fieldloom_xlsx").options(data=base64.b64encode(content).decode(), header=str(read_header), skip_rows=str(skip_rows), **how).load()
+
+    found = [one(bytes(r["content"])) for r in spark.read.format("binaryFile").load(path).orderBy("path").select("content").toLocalIterator()]
+    if not found:
+        raise ArgumentError(f"no file in {path}")
+    df = reduce(_joined, found)
     if fields is None:
-        return reader.load()
+        return df
     from ..registry import ops
 
-    given, df = FieldList(*fields), reader.load()
+    given = FieldList(*fields)
     df = df.select(*[F.col(f"`{a}`").alias(b) for a, b in zip(df.columns, given.names(), strict=False)])
     return ops.retype(df, {f.name: f.storage_type for f in given if f.storage_type != "unknown" and f.name in df.columns})
