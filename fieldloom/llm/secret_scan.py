@@ -99,7 +99,7 @@ def update(versions: DataFrame, ledger_path: str) -> DataFrame:
 
 def scan(versions: DataFrame, path: str, ledger_path: str | None = None) -> DataFrame:
     """Findings of every row of ``versions``, named by its column ``path``; a new ledger if none is given."""
-    ledger = update(versions, ledger_path or shared.fresh_path(versions.sparkSession, "ledger"))
+    ledger = shared.stage(update(versions, ledger_path or shared.fresh_path(versions.sparkSession, "ledger")), "ledger-rows")
     paths = versions.select(path, blob(F.col("text")).alias("blob"))
     return paths.join(ledger, "blob").select(path, "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
